@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from basketry.functions import scalars as X
 from basketry.functions.quantiles import exact_quantiles
-from basketry.session import materialize
+from basketry.session import materialize, spread
 
 # Features, forest size, sample size, share, seed, least number
 # of sales, quantiles of the reasons, reason texts, severity bound.
@@ -58,7 +58,7 @@ def _sampled(features: DataFrame, rows: int, trees: int, seed: int) -> DataFrame
     )
     hits = features.select(*FEATURES, "venta_id", F.inline(F.filter(mark, lambda m: m["h"] < keep)))
     order = Window.partitionBy("tree").orderBy("h", "venta_id")
-    return hits.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE).drop("_r", "h")
+    return spread(hits, "tree").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE).drop("_r", "h")
 
 
 def _average_path(n: np.ndarray | int):

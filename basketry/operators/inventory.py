@@ -32,7 +32,7 @@ from basketry.operators.sales import with_subtotal
 from basketry.session import materialize
 
 PREFIX_ROWS = 20_000
-SLOW_ROUND = 0.2  # share of undecided requests; a round deciding less hands over a prefix
+SLOW_ROUND = 0.2  # share of undecided changes; a round deciding less hands over a prefix
 
 # Operations and reject messages.
 CREATE, UPDATE, DELETE = "create", "update", "delete"
@@ -191,26 +191,22 @@ def _decide(changes: DataFrame, prefix_rows: int) -> tuple[DataFrame, int]:
     """``request_id, accepted`` for every request in ``changes``."""
     out: DataFrame | None = None
     todo, fresh = changes, None
-    left = todo.select("request_id").distinct().count()
+    left = todo.count()
     rounds = 0
     while left:
         rounds += 1
-        state = _round(todo, fresh)
-        state = materialize(state, f"round{rounds}")
-        done = state.where(F.col("accepted").isNotNull())
-        now = state.where(F.col("accepted").isNull()).select("request_id").distinct().count()
-        slow = now > left * (1 - SLOW_ROUND)
-        if now and (slow or state.where(F.col("accepted").isNull()).count() <= prefix_rows):
+        state = materialize(_round(todo, fresh), f"round{rounds}")
+        now = state.where(F.col("accepted").isNull()).count()
+        if now and (now > left * (1 - SLOW_ROUND) or now <= prefix_rows):
             state = materialize(_with_prefix(state, prefix_rows), f"prefix{rounds}")
-            done = state.where(F.col("accepted").isNotNull())
-            now = state.where(F.col("accepted").isNull()).select("request_id").distinct().count()
-        verdict = done.select("request_id", "accepted").distinct()
+            now = state.where(F.col("accepted").isNull()).count()
+        verdict = state.where(F.col("accepted").isNotNull()).select("request_id", "accepted").distinct()
         out = verdict if out is None else out.unionByName(verdict)
         fresh = state.where(F.col("accepted")).select(*_CHANGE)
         todo = state.where(F.col("accepted").isNull()).select(*_CHANGE)
         left = now
     if out is None:
-        out = changes.select("request_id", F.lit(True).alias("accepted")).limit(0)
+        out = changes.select("request_id", F.lit(True).alias("accepted"))
     return out, rounds
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basketry.session import materialize
+from basketry.session import materialize, spread
 
 BLOCK_ROWS = 16_384
 MAX_PIVOTS = 1_024
@@ -90,7 +90,7 @@ def top_similar(vectors: DataFrame, n: int = 4, block_rows: int = BLOCK_ROWS) ->
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     )
 
-    within = placed.groupBy("cell", "block").applyInPandas(lambda pdf: _best(pdf, pdf, n), _HITS)
+    within = spread(placed, "cell", "block").groupBy("cell", "block").applyInPandas(lambda pdf: _best(pdf, pdf, n), _HITS)
     within = materialize(within, "within")
     # The score to beat: the N-th best inside the own block, if there are N.
     floor = within.groupBy("id").agg(
@@ -129,8 +129,9 @@ def top_similar(vectors: DataFrame, n: int = 4, block_rows: int = BLOCK_ROWS) ->
     )
     key = ["visit", "vblock", "slice"]
     across = (
-        queries.groupBy(*key)
-        .cogroup(candidates.groupBy(*key))
+        spread(queries, *key)
+        .groupBy(*key)
+        .cogroup(spread(candidates, *key).groupBy(*key))
         .applyInPandas(lambda left, right: _best(left, right, n), _HITS)
     )
     return _keep_best(within.unionByName(across), n)

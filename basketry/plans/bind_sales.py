@@ -191,16 +191,16 @@ _FEATURES = """
     "a16_feature_quantiles",
     _FEATURES
     + """
-    SELECT 'total' AS feature, round(quantile_cont(total, 0.05), 3) AS q05, round(quantile_cont(total, 0.95), 3) AS q95 FROM rasgo
-    UNION ALL SELECT 'num_productos', round(quantile_cont(CAST(num_productos AS DOUBLE), 0.05), 3),
-      round(quantile_cont(CAST(num_productos AS DOUBLE), 0.95), 3) FROM rasgo
-    UNION ALL SELECT 'ticket_promedio', round(quantile_cont(ticket_promedio, 0.05), 3),
-      round(quantile_cont(ticket_promedio, 0.95), 3) FROM rasgo
+    SELECT 'total' AS feature, round(quantile_cont(total, 0.05), 7) AS q05, round(quantile_cont(total, 0.95), 7) AS q95 FROM rasgo
+    UNION ALL SELECT 'num_productos', round(quantile_cont(CAST(num_productos AS DOUBLE), 0.05), 7),
+      round(quantile_cont(CAST(num_productos AS DOUBLE), 0.95), 7) FROM rasgo
+    UNION ALL SELECT 'ticket_promedio', round(quantile_cont(ticket_promedio, 0.05), 7),
+      round(quantile_cont(ticket_promedio, 0.95), 7) FROM rasgo
     """,
 )
 def _(r: Retail) -> DataFrame:
     limits = anomaly.limits_row(anomaly.sale_features(r.ventas))
-    return limits.select("feature", F.round("q05", 3).alias("q05"), F.round("q95", 3).alias("q95"))
+    return limits.select("feature", F.round("q05", 7).alias("q05"), F.round("q95", 7).alias("q95"))
 
 
 @query(

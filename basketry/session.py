@@ -59,3 +59,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by key into a fixed number of partitions.
+
+    For stages whose cost is computing, not bytes: AQE would merge their small
+    partitions into few tasks. A grouping on the same key needs no more shuffle.
+    """
+    spark = df.sparkSession
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(slots, *keys)
