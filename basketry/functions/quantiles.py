@@ -1,91 +1,105 @@
 """Exact quantiles by distributed selection.
 
 The built-in exact percentile holds every distinct value of a group in one
-task. Here values are counted in a fixed number of buckets; the bucket that
-holds the wanted position is then cut again, until few rows are left. Only
-bucket counts (at most ``BUCKETS`` per column and pass) reach the driver.
+task. Here values are counted in a fixed number of buckets; a bucket that
+holds a wanted position is then cut again, until few rows are left. A pass
+serves all columns in one job, and only bucket counts reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
-SMALL = 20_000
+SMALL = 2_000
+
+
+class _Interval(NamedTuple):
+    column: str
+    low: float
+    high: float
+    before: int  # rows below it
+    rows: int  # rows in it
+    spots: list[int]  # wanted positions in it
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
-    """Linearly interpolated quantiles of each column over its non-null values."""
-    stats = df.agg(
-        *[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in columns for n, f in _STATS.items()]
-    ).first()
+    """Linearly interpolated quantiles of each column over its non-null values.
+
+    ``df`` is read a few times, so an expensive plan is best written first.
+    """
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in _STATS.items()]).first()
+    rows = {c: stats[f"n_{c}"] for c in columns}
     found: dict[str, dict[int, float]] = {c: {} for c in columns}
-    wanted: dict[str, list[int]] = {}
-    # An open interval is (column, low, high, rows before it, rows in it, positions in it).
-    open_: list[tuple[str, float, float, int, int, list[int]]] = []
-    for c in columns:
-        n = stats[f"n_{c}"]
-        if not n:
-            continue
-        spots = sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
-        wanted[c] = spots
-        open_.append((c, stats[f"lo_{c}"], stats[f"hi_{c}"], 0, n, spots))
-    while open_:
-        still = []
-        for c, low, high, before, rows, spots in open_:
-            if low == high:
-                found[c].update({k: low for k in spots})
-            elif rows <= SMALL:
-                x = F.col(c).cast("double")
-                counts = df.where((x >= low) & (x <= high)).groupBy(x.alias("x")).count().collect()
-                found[c].update(_pick(sorted((r["x"], r["count"]) for r in counts), before, spots))
-            else:
-                still.append((c, low, high, before, rows, spots))
-        open_ = [piece for one in still for piece in _split(df, *one)]
-    out = {}
+    todo = []
     for c in columns:
-        if c not in wanted:
-            out[c] = [float("nan")] * len(probs)
-            continue
-        n = stats[f"n_{c}"]
-        out[c] = []
-        for p in probs:
-            at = p * (n - 1)
-            a, b = found[c][math.floor(at)], found[c][math.ceil(at)]
-            out[c].append(a + (b - a) * (at - math.floor(at)))
-    return out
+        if rows[c]:
+            spots = sorted({f(p * (rows[c] - 1)) for p in probs for f in (math.floor, math.ceil)})
+            todo.append(_Interval(c, stats[f"lo_{c}"], stats[f"hi_{c}"], 0, rows[c], spots))
+    while todo:
+        for one in todo:
+            if one.low == one.high:
+                found[one.column].update(dict.fromkeys(one.spots, one.low))
+        todo = [one for one in todo if one.low < one.high]
+        last, wide = [o for o in todo if o.rows <= SMALL], [o for o in todo if o.rows > SMALL]
+        if last:
+            _pick(df, last, found)
+        todo = _split(df, wide) if wide else []
+    return {c: [_between(found[c], p * (rows[c] - 1)) if rows[c] else math.nan for p in probs] for c in columns}
 
 
 _STATS = {"n": F.count, "lo": F.min, "hi": F.max}
 
 
-def _split(df, column, low, high, before, rows, spots):
-    """Cut one interval into buckets and keep those that hold a wanted position."""
-    x = F.col(column).cast("double")
-    bucket = F.least(F.floor((x - F.lit(low)) / F.lit(high - low) * F.lit(BUCKETS)), F.lit(BUCKETS - 1))
+def _between(values: dict[int, float], at: float) -> float:
+    low, high = values[math.floor(at)], values[math.ceil(at)]
+    return low + (high - low) * (at - math.floor(at))
+
+
+def _members(df: DataFrame, intervals: list[_Interval]) -> DataFrame:
+    """The values inside each interval, as ``k, x`` with the interval's number."""
+    inside = [
+        F.when(F.col(o.column).between(o.low, o.high), F.struct(F.lit(k).alias("k"), F.col(o.column).alias("x")))
+        for k, o in enumerate(intervals)
+    ]
+    return df.select(F.inline(F.array_compact(F.array(*inside))))
+
+
+def _split(df: DataFrame, intervals: list[_Interval]) -> list[_Interval]:
+    """Cut each interval into buckets and keep those that hold a wanted position."""
+    bounds = [F.struct(F.lit(o.low).alias("lo"), F.lit(o.high - o.low).alias("w")) for o in intervals]
+    mine = F.element_at(F.array(*bounds), F.col("k") + 1)
+    bucket = F.least(F.floor((F.col("x") - mine["lo"]) / mine["w"] * F.lit(BUCKETS)), F.lit(BUCKETS - 1))
     hist = (
-        df.where((x >= low) & (x <= high))
-        .groupBy(bucket.alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-        .collect()
+        _members(df, intervals)
+        .groupBy("k", bucket.alias("b"))
+        .agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        .collect()  # at most BUCKETS rows per interval
     )
-    pieces, seen = [], before
-    for row in sorted(hist, key=lambda r: r["b"]):
-        inside = [k for k in spots if seen <= k < seen + row["n"]]
-        if inside:
-            pieces.append((column, row["lo"], row["hi"], seen, row["n"], inside))
-        seen += row["n"]
+    pieces = []
+    seen = [o.before for o in intervals]
+    for row in sorted(hist, key=lambda r: (r["k"], r["b"])):
+        one, start = intervals[row["k"]], seen[row["k"]]
+        spots = [s for s in one.spots if start <= s < start + row["n"]]
+        if spots:
+            pieces.append(_Interval(one.column, row["lo"], row["hi"], start, row["n"], spots))
+        seen[row["k"]] = start + row["n"]
     return pieces
 
 
-def _pick(counted, before, spots):
-    out, seen, left = {}, before, list(spots)
-    for value, n in counted:
-        while left and left[0] < seen + n:
-            out[left.pop(0)] = value
-        seen += n
-    return out
+def _pick(df: DataFrame, intervals: list[_Interval], found: dict[str, dict[int, float]]) -> None:
+    """Read the values at the wanted positions from small intervals."""
+    counts = _members(df, intervals).groupBy("k", "x").count().collect()  # at most SMALL rows per interval
+    seen = [o.before for o in intervals]
+    for row in sorted(counts, key=lambda r: (r["k"], r["x"])):
+        one, start = intervals[row["k"]], seen[row["k"]]
+        for spot in one.spots:
+            if start <= spot < start + row["count"]:
+                found[one.column][spot] = row["x"]
+        seen[row["k"]] = start + row["count"]

@@ -6,7 +6,6 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from basketry.functions.ranking import dense_position
 
@@ -42,13 +41,19 @@ SOURCES = {
     "pages": "page_id bigint, url string, html string",
 }
 
-MONEY = T.DecimalType(18, 2)
-MONEY_SUM = T.DecimalType(38, 2)
 
+def cents(value: Column) -> Column:
+    """An amount as whole cents, halves up."""
+    return F.floor(value * 100 + 0.5)
 
-def money(value: Column) -> Column:
-    """A double rounded to cents as an exact decimal."""
-    return F.round(value, 2).cast(MONEY)
+
+def sum_money(value: Column) -> Column:
+    """The exact sum of amounts.
+
+    Cents are added as whole numbers, so the result does not depend on the
+    order of the rows, and the sum stays a plain long in the shuffle.
+    """
+    return F.sum(cents(value)) / F.lit(100.0)
 
 
 class Retail:

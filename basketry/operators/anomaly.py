@@ -34,13 +34,12 @@ _NODES = "tree int, node int, feature int, split double, path double"
 
 def sale_features(ventas: DataFrame) -> DataFrame:
     """Total, line count and ticket per line (0 without lines)."""
-    total = F.col("total").cast("double")
     return ventas.select(
         F.col("id").alias("venta_id"),
         F.to_date("fecha").alias("fecha"),
-        total.alias("total"),
+        "total",
         "num_productos",
-        X.safe_divide(total, F.col("num_productos")).alias("ticket_promedio"),
+        X.safe_divide(F.col("total"), F.col("num_productos")).alias("ticket_promedio"),
     )
 
 
@@ -133,7 +132,7 @@ def score_sales(features: DataFrame, forest: DataFrame, sample: int | None = Non
             yield pdf.assign(score=-np.power(2.0, -depth / norm))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in features.schema)
-    return features.mapInPandas(score, f"{fields}, score double").select(*columns, "score")
+    return spread(features, "venta_id").mapInPandas(score, f"{fields}, score double").select(*columns, "score")
 
 
 def feature_limits(features: DataFrame) -> dict[str, list[float]]:
@@ -142,7 +141,7 @@ def feature_limits(features: DataFrame) -> dict[str, list[float]]:
 
 
 def limits_row(features: DataFrame) -> DataFrame:
-    limits = feature_limits(features)
+    limits = feature_limits(materialize(features, "sale-features"))
     row = [(c, *limits[c]) for c in FEATURES]
     return features.sparkSession.createDataFrame(row, "feature string, q05 double, q95 double")
 
@@ -160,7 +159,12 @@ def reasons(limits: dict[str, list[float]]) -> Column:
 
 
 def with_reasons(features: DataFrame) -> DataFrame:
-    """The limits are plain literals in the plan, so no join is needed."""
+    """All sales with their reasons.
+
+    The features are written once, since finding the limits reads them a few
+    times. The limits are plain literals in the plan, so no join is needed.
+    """
+    features = materialize(features, "sale-features")
     return features.withColumn("razon", reasons(feature_limits(features)))
 
 

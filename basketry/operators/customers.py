@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import scalars as X
+from basketry.model import sum_money
 
 # Segment labels, best first, and the rule thresholds.
 SEGMENTS = ("VIP", "Regular", "Ocasional")
@@ -17,13 +18,13 @@ def customer_metrics(ventas: DataFrame) -> DataFrame:
     known = ventas.where(F.col("cliente_id").isNotNull())
     return (
         known.groupBy("cliente_id")
-        .agg(F.sum("total").alias("_total"), F.count(F.lit(1)).alias("frecuencia"))
+        .agg(sum_money(F.col("total")).alias("total_compras"), F.count(F.lit(1)).alias("frecuencia"))
         .select(
             "cliente_id",
             X.generated_name(X.CUSTOMER_PREFIX, F.col("cliente_id")).alias("nombre"),
-            F.col("_total").cast("double").alias("total_compras"),
+            "total_compras",
             "frecuencia",
-            X.safe_divide(F.col("_total").cast("double"), F.col("frecuencia")).alias("ticket_promedio"),
+            X.safe_divide(F.col("total_compras"), F.col("frecuencia")).alias("ticket_promedio"),
         )
     )
 

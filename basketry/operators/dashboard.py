@@ -10,18 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import scalars as X
-from basketry.model import MONEY_SUM
-from basketry.operators.sales import with_subtotal
+from basketry.model import sum_money
+from basketry.operators.sales import with_totals
 
 
 def _per_product(detalles: DataFrame) -> DataFrame:
-    return (
-        with_subtotal(detalles)
-        .groupBy("producto_id")
-        .agg(
-            F.sum("subtotal").cast(MONEY_SUM).alias("ingresos"),
-            F.sum(F.coalesce("cantidad", F.lit(0))).alias("unidades"),
-        )
+    return detalles.groupBy("producto_id").agg(
+        F.coalesce(sum_money(F.col("cantidad") * F.col("precio_unitario")), F.lit(0.0)).alias("ingresos"),
+        F.sum(F.coalesce("cantidad", F.lit(0))).alias("unidades"),
     )
 
 
@@ -31,7 +27,7 @@ def revenue_by_category(detalles: DataFrame, catalogo: DataFrame) -> DataFrame:
         _per_product(detalles)
         .join(names, "producto_id", "left")
         .groupBy(X.or_default(F.col("categoria"), X.NO_CATEGORY).alias("categoria"))
-        .agg(F.sum("ingresos").cast("double").alias("ingresos"))
+        .agg(sum_money(F.col("ingresos")).alias("ingresos"))
     )
 
 
@@ -53,17 +49,21 @@ def top_products(detalles: DataFrame, catalogo: DataFrame, limit: int = 10) -> D
 def revenue_by_day(ventas: DataFrame, as_of: Column) -> DataFrame:
     """Revenue per day; a sale without a date counts for ``as_of``."""
     return ventas.groupBy(F.coalesce(F.to_date("fecha"), as_of).alias("dia")).agg(
-        F.sum("total").cast("double").alias("total")
+        sum_money(F.col("total")).alias("total")
     )
 
 
-def last_days(ventas: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """The last ``days`` days with gaps filled by 0."""
+def last_days(ventas: DataFrame, detalles: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """The last ``days`` days with gaps filled by 0.
+
+    ``ventas`` are sale headers: the date filter comes first, and only the
+    lines of recent sales are summed.
+    """
     calendar = ventas.sparkSession.range(1).select(
         F.explode(F.sequence(F.date_sub(as_of, days - 1), as_of)).alias("dia")
     )
     recent = ventas.where(F.coalesce(F.to_date("fecha"), as_of).between(F.date_sub(as_of, days - 1), as_of))
-    return calendar.join(revenue_by_day(recent, as_of), "dia", "left").select(
+    return calendar.join(revenue_by_day(with_totals(recent, detalles, few=True), as_of), "dia", "left").select(
         F.date_format("dia", "yyyy-MM-dd").alias("dia"), F.coalesce("total", F.lit(0.0)).alias("total")
     )
 
@@ -72,7 +72,7 @@ def customer_scatter(ventas: DataFrame) -> DataFrame:
     return (
         ventas.where(F.col("cliente_id").isNotNull())
         .groupBy("cliente_id")
-        .agg(F.sum("total").cast("double").alias("total"), F.count(F.lit(1)).alias("compras"))
+        .agg(sum_money(F.col("total")).alias("total"), F.count(F.lit(1)).alias("compras"))
     )
 
 
@@ -89,11 +89,12 @@ def kpi_row(productos: DataFrame, clientes: DataFrame, ventas: DataFrame) -> Dat
     )
 
 
-def today(ventas: DataFrame, as_of: Column) -> DataFrame:
-    """Sale count and revenue of one day."""
-    return ventas.where(F.to_date("fecha") == as_of).agg(
+def today(ventas: DataFrame, detalles: DataFrame, as_of: Column) -> DataFrame:
+    """Sale count and revenue of one day, from sale headers and lines."""
+    sales = ventas.where(F.to_date("fecha") == as_of)
+    return with_totals(sales, detalles, few=True).agg(
         F.count(F.lit(1)).alias("ventas_hoy"),
-        F.coalesce(F.sum("total"), F.lit(0)).cast("double").alias("ingresos_hoy"),
+        F.coalesce(sum_money(F.col("total")), F.lit(0.0)).alias("ingresos_hoy"),
     )
 
 

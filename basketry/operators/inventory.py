@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basketry.functions.ranking import range_chunks, running_sums
-from basketry.operators.sales import with_subtotal
+from basketry.operators.sales import sale_facts
 from basketry.session import materialize
 
 PREFIX_ROWS = 20_000
@@ -168,9 +168,7 @@ def apply_log(
     fresh = ok.where(F.col("op") != DELETE).select("request_id", "venta_id", "cliente_id", "fecha")
     columns = ["venta_id", "producto_id", "linea", "cantidad", "precio_unitario"]
     new_lines = lines.join(fresh.select("request_id", "venta_id"), "request_id").select(*columns)
-    totals = (
-        with_subtotal(new_lines).groupBy("venta_id").agg(F.sum("subtotal").cast("double").alias("total"))
-    )
+    totals = sale_facts(new_lines).select(F.col("id").alias("venta_id"), "total")
     new_sales = fresh.join(totals, "venta_id", "left").select(
         F.col("venta_id").alias("id"), "cliente_id", "fecha", F.coalesce("total", F.lit(0.0)).alias("total")
     )

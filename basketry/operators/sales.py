@@ -2,37 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basketry.functions import scalars as X
-from basketry.model import MONEY, MONEY_SUM, money
+from basketry.model import cents, sum_money
 
 # Lines per document part; a larger sale is spread over several parts.
 DOCUMENT_LINES = 5_000
 
 
 def with_subtotal(detalles: DataFrame) -> DataFrame:
-    """Line subtotal in exact cents; 0 when quantity or price is null."""
-    product = money(F.col("cantidad") * F.col("precio_unitario"))
-    return detalles.withColumn("subtotal", F.coalesce(product, F.lit(0).cast(MONEY)))
+    """Line subtotal rounded to cents; 0 when quantity or price is null."""
+    return detalles.withColumn("subtotal", F.coalesce(cents(_product()), F.lit(0)) / F.lit(100.0))
+
+
+def _product() -> Column:
+    return F.col("cantidad") * F.col("precio_unitario")
 
 
 def sale_facts(detalles: DataFrame) -> DataFrame:
     """Total and line count per sale that has lines."""
     return (
-        with_subtotal(detalles)
-        .groupBy(F.col("venta_id").alias("id"))
-        .agg(F.sum("subtotal").cast(MONEY_SUM).alias("total"), F.count(F.lit(1)).alias("num_productos"))
+        detalles.groupBy(F.col("venta_id").alias("id"))
+        .agg(
+            F.coalesce(sum_money(_product()), F.lit(0.0)).alias("total"),
+            F.count(F.lit(1)).alias("num_productos"),
+        )
     )
 
 
-def with_totals(ventas: DataFrame, detalles: DataFrame) -> DataFrame:
-    """Sales with total and line count; a sale without lines gets zeros."""
+def with_totals(ventas: DataFrame, detalles: DataFrame, few: bool = False) -> DataFrame:
+    """Sales with total and line count; a sale without lines gets zeros.
+
+    With ``few``, ``ventas`` is a small part of all sales: the lines of the
+    others are dropped by a semi-join before they are summed and shuffled.
+    """
+    if few:
+        detalles = detalles.join(ventas.select(F.col("id").alias("venta_id")), "venta_id", "left_semi")
     return ventas.join(sale_facts(detalles), "id", "left").select(
         *ventas.columns,
-        F.coalesce("total", F.lit(0).cast(MONEY_SUM)).alias("total"),
+        F.coalesce("total", F.lit(0.0)).alias("total"),
         F.coalesce("num_productos", F.lit(0).cast("bigint")).alias("num_productos"),
     )
 
@@ -51,7 +62,7 @@ def sale_snapshot(ventas: DataFrame) -> DataFrame:
         "id",
         X.or_default(F.col("cliente_id"), 0).cast("bigint").alias("cliente_id"),
         "fecha",
-        F.col("total").cast("double").alias("total"),
+        "total",
         "num_productos",
     )
 
@@ -91,7 +102,7 @@ def sale_documents(
                         "linea",
                         "cantidad",
                         "precio_unitario",
-                        F.col("subtotal").cast("double").alias("subtotal"),
+                        "subtotal",
                         F.struct(F.col("producto_id").alias("id"), F.col("producto").alias("nombre"), "categoria").alias(
                             "producto"
                         ),
@@ -147,7 +158,7 @@ def customer_history(ventas: DataFrame, clientes: DataFrame) -> DataFrame:
             "cliente",
             F.col("id").alias("venta_id"),
             "fecha",
-            F.col("total").cast("double").alias("total"),
+            "total",
             "num_productos",
         )
         .orderBy("cliente_id", "fecha", "venta_id")

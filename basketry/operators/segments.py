@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ SEED = 42
 RESTARTS = 10
 MIN_CUSTOMERS = 5
 
+PARALLEL = 4  # restarts submitted at a time
+
 
 def feature_scales(metrics: DataFrame) -> DataFrame:
     """Mean and population deviation of each feature."""
@@ -32,7 +36,7 @@ def cluster_customers(metrics: DataFrame, restarts: int = RESTARTS, seed: int =
     """Each customer with its cluster; null below five customers.
 
     The best of several starts by cost. Features are written once, so the
-    restarts do not repeat the aggregation behind them.
+    restarts, which run side by side, do not repeat the aggregation behind them.
     """
     rows = VectorAssembler(inputCols=FEATURES, outputCol="raw").transform(metrics)
     rows = materialize(rows.repartition("cliente_id").sortWithinPartitions("cliente_id"), "features")
@@ -40,13 +44,11 @@ def cluster_customers(metrics: DataFrame, restarts: int = RESTARTS, seed: int =
         return None
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(rows)
     scaled = scaler.transform(rows).persist()
-    best = None
-    for start in range(restarts):
-        model = KMeans(k=CLUSTERS, seed=seed + start, maxIter=20).fit(scaled)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    out = materialize(best[1].transform(scaled).select(*metrics.columns, F.col("prediction").alias("cluster")), "clusters")
+    starts = [seed + n for n in range(restarts)]
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        models = list(pool.map(lambda s: KMeans(k=CLUSTERS, seed=s, maxIter=20).fit(scaled), starts))
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    out = materialize(best.transform(scaled).select(*metrics.columns, F.col("prediction").alias("cluster")), "clusters")
     scaled.unpersist()
     return out
 

@@ -112,20 +112,27 @@ def top_similar(vectors: DataFrame, n: int = 4, block_rows: int = BLOCK_ROWS) ->
         placed.join(floor, "id", "left")
         .select("id", "embedding", "cell", "block", F.coalesce("floor", F.lit(-1.0)).alias("floor"))
         .mapInPandas(visits, "id bigint, embedding array<double>, cell int, block int, visit int")
-        .join(F.broadcast(sizes.select(F.col("cell").alias("visit"), "blocks")), "visit")
-        .withColumn("vblock", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .where((F.col("cell") != F.col("visit")) | (F.col("block") != F.col("vblock")))
     )
-    slices = math.ceil(total / block_rows)
-    queries = queries.select(
-        "visit", "vblock", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int").alias("slice"), "id", "embedding"
+    queries = materialize(queries, "visits")
+    # Visitors of a cell come in slices, and its blocks are copied once per
+    # slice: a cell that few vectors visit is hardly copied. One row per cell.
+    counts = queries.groupBy("visit").count().collect()
+    plan = [(r["visit"], blocks[r["visit"]], math.ceil(r["count"] / block_rows)) for r in counts]
+    if not plan:
+        return _keep_best(within, n)
+    plan = F.broadcast(placed.sparkSession.createDataFrame(plan, "visit int, vblocks int, slices int"))
+    queries = (
+        queries.join(plan, "visit")
+        .withColumn("vblock", F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)))
+        .where((F.col("cell") != F.col("visit")) | (F.col("block") != F.col("vblock")))
+        .withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).cast("int"))
+        .select("visit", "vblock", "slice", "id", "embedding")
     )
-    candidates = placed.select(
-        F.col("cell").alias("visit"),
-        F.col("block").alias("vblock"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
-        "id",
-        "embedding",
+    candidates = (
+        placed.select(F.col("cell").alias("visit"), F.col("block").alias("vblock"), "id", "embedding")
+        .join(plan, "visit")
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .select("visit", "vblock", "slice", "id", "embedding")
     )
     key = ["visit", "vblock", "slice"]
     across = (

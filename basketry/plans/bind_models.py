@@ -308,6 +308,11 @@ def _predictions(r: Retail) -> DataFrame:
     )
 
 
+def _stored_predictions(r: Retail) -> DataFrame:
+    """Matching reads the predictions several times, so they are written once."""
+    return materialize(_predictions(r), "predictions")
+
+
 def _keywords(r: Retail) -> DataFrame:
     """Parts of the words of product names, kept with the first product that has them."""
     words = r.catalogo.select(F.col("id").alias("producto_id"), F.posexplode(F.split("nombre", " ")).alias("kw_pos", "word"))
@@ -346,12 +351,12 @@ _PRED = r"""
 
 @query("j8_keyword_hits", _PRED + "SELECT class_name, keyword, producto_id, kw_pos FROM acierto")
 def _(r: Retail) -> DataFrame:
-    return matching.keyword_hits(_predictions(r).select("class_name").distinct(), _keywords(r))
+    return matching.keyword_hits(_stored_predictions(r).select("class_name").distinct(), _keywords(r))
 
 
 @query("w6_first_match", _PRED + "SELECT image_id, rank, class_name, probability, producto_id, kw_pos FROM primero")
 def _(r: Retail) -> DataFrame:
-    return matching.first_matches(_predictions(r), _keywords(r))
+    return matching.first_matches(_stored_predictions(r), _keywords(r))
 
 
 @query("k5_raw_classes", _PRED + "SELECT image_id, rank, class_name, probability FROM prediccion WHERE rank <= 5")
@@ -369,14 +374,14 @@ def _(r: Retail) -> DataFrame:
     """,
 )
 def _(r: Retail) -> DataFrame:
-    return matching.identify(_predictions(r), _keywords(r), r.snapshot).drop("mensaje")
+    return matching.identify(_stored_predictions(r), _keywords(r), r.snapshot).drop("mensaje")
 
 
 @query("n24_identified_products")
 def _(r: Retail) -> DataFrame:
     values = materialize(forecast.forecast(_series(r)), "forecast")
     related = materialize(recommend.recommendations(_product_vectors(r), r.snapshot), "related")
-    out = identified_products(_predictions(r), _keywords(r), r.snapshot, values, related)
+    out = identified_products(_stored_predictions(r), _keywords(r), r.snapshot, values, related)
     return out.select(
         "image_id",
         "success",

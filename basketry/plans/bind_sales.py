@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketry.model import Retail
 from basketry.operators import anomaly, basket, customers, dashboard, sales, segments, series
 from basketry.plans.registry import query
+from basketry.session import materialize
 
 # Thresholds for the price level of the sample tables.
 RULE = {"VIP": (12, 150_000.0), "Regular": (8, 120_000.0)}
@@ -23,14 +24,12 @@ def _segmented(r: Retail) -> DataFrame:
 
 @query("a1_line_subtotal", "SELECT venta_id, linea, producto_id, CAST(subtotal AS DOUBLE) AS subtotal FROM sublinea")
 def _(r: Retail) -> DataFrame:
-    return sales.with_subtotal(r.detalles).select(
-        "venta_id", "linea", "producto_id", F.col("subtotal").cast("double").alias("subtotal")
-    )
+    return sales.with_subtotal(r.detalles).select("venta_id", "linea", "producto_id", "subtotal")
 
 
 @query("a2_sale_total", "SELECT venta_id AS id, CAST(total AS DOUBLE) AS total FROM sumas")
 def _(r: Retail) -> DataFrame:
-    return sales.sale_facts(r.detalles).select("id", F.col("total").cast("double").alias("total"))
+    return sales.sale_facts(r.detalles).select("id", "total")
 
 
 @query(
@@ -89,7 +88,7 @@ def _(r: Retail) -> DataFrame:
     """,
 )
 def _(r: Retail) -> DataFrame:
-    return dashboard.last_days(r.ventas, r.as_of)
+    return dashboard.last_days(r.ventas_base, r.detalles, r.as_of)
 
 
 @query(
@@ -120,7 +119,7 @@ def _(r: Retail) -> DataFrame:
     """,
 )
 def _(r: Retail) -> DataFrame:
-    return dashboard.today(r.ventas, r.as_of)
+    return dashboard.today(r.ventas_base, r.detalles, r.as_of)
 
 
 @query(
@@ -234,7 +233,7 @@ def _(r: Retail) -> DataFrame:
 
 @query("d5_reason_function", _REASONS)
 def _(r: Retail) -> DataFrame:
-    features = anomaly.sale_features(r.ventas)
+    features = materialize(anomaly.sale_features(r.ventas), "sale-features")
     return features.select("venta_id", anomaly.reasons(anomaly.feature_limits(features)).alias("razon"))
 
 

@@ -63,7 +63,7 @@ def _(r: Retail) -> DataFrame:
     "SELECT v.id, v.cliente_id, CAST(v.total AS DOUBLE) AS total, CAST(v.fecha AS DATE) AS fecha FROM venta v",
 )
 def _(r: Retail) -> DataFrame:
-    return r.ventas.select("id", "cliente_id", F.col("total").cast("double").alias("total"), F.to_date("fecha").alias("fecha"))
+    return r.ventas.select("id", "cliente_id", "total", F.to_date("fecha").alias("fecha"))
 
 
 @query("s4_product_fields", "SELECT id, nombre, precio FROM producto")
@@ -314,7 +314,7 @@ def _(r: Retail) -> DataFrame:
     return r.ventas.select(
         F.col("id").alias("venta_id"),
         F.date_format("fecha", "yyyy-MM-dd").alias("dia"),
-        F.col("total").cast("double").alias("importe"),
+        F.col("total").alias("importe"),
         F.col("num_productos").cast("int").alias("lineas"),
     )
 
@@ -375,7 +375,7 @@ def _(r: Retail) -> DataFrame:
         "linea",
         "producto_id",
         X.or_default(F.col("categoria"), X.NO_CATEGORY).alias("categoria"),
-        F.col("subtotal").cast("double").alias("subtotal"),
+        "subtotal",
     )
 
 
@@ -555,7 +555,7 @@ def _(r: Retail) -> DataFrame:
 def _(r: Retail) -> DataFrame:
     return r.ventas.select(
         "id",
-        X.two_decimals(F.col("total").cast("double")).alias("importe"),
+        X.two_decimals(F.col("total")).alias("importe"),
         X.percent(F.col("num_productos") / F.lit(17.0)).alias("porcentaje"),
     )
 
@@ -605,7 +605,7 @@ def _(r: Retail) -> DataFrame:
     """,
 )
 def _(r: Retail) -> DataFrame:
-    ticket = X.safe_divide(F.col("total").cast("double"), F.col("num_productos"))
+    ticket = X.safe_divide(F.col("total"), F.col("num_productos"))
     return r.ventas.select("id", ticket.alias("ticket"))
 
 
@@ -697,6 +697,6 @@ def _(r: Retail) -> DataFrame:
     from basketry.operators.customers import customer_metrics
 
     counts = sales.table_counts(
-        {"productos": r.catalogo, "ventas": r.ventas_base, "clientes": customer_metrics(r.ventas_base.withColumn("total", F.lit(0)))}
+        {"productos": r.catalogo, "ventas": r.ventas_base, "clientes": customer_metrics(r.ventas_base.withColumn("total", F.lit(0.0)))}
     )
     return dashboard.service_status(counts)

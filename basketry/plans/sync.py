@@ -10,6 +10,7 @@ from basketry.operators import anomaly, pricing, segments
 from basketry.operators.customers import customer_metrics, with_rule_segment
 from basketry.operators.registry import MODELS, training_run
 from basketry.operators.sales import product_snapshot, sale_snapshot, with_totals
+from basketry.session import materialize
 from basketry.sources.snapshots import full_refresh, read_snapshot
 
 
@@ -22,8 +23,12 @@ def sync(
     root: str,
     at: datetime,
 ) -> dict[str, int]:
-    """Rebuild the three caches; the counts of what was written."""
-    sales = with_totals(ventas, detalles)
+    """Rebuild the three caches; the counts of what was written.
+
+    Sales with totals are written once, for both caches that need them: in the
+    sale cache itself a missing customer can no longer be told from customer 0.
+    """
+    sales = materialize(with_totals(ventas, detalles), "sales")
     return full_refresh(
         spark,
         {

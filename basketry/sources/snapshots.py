@@ -21,13 +21,13 @@ class EmptyExtract(RuntimeError):
 def write_version(tables: dict[str, DataFrame], root: str) -> tuple[str, dict[str, int]]:
     """Write all tables below a new version; readers still see the old one."""
     version = uuid.uuid4().hex
-    counts = {}
+    written: dict[str, DataFrame] = {}
     for name, df in tables.items():
         target = f"{root}/versions/{version}/{name}"
         df.write.parquet(target)
-        # Counted from the written files, so the plan behind df runs once.
-        counts[name] = df.sparkSession.read.schema(df.schema).parquet(target).count()
-    return version, counts
+        written[name] = df.sparkSession.read.schema(df.schema).parquet(target)
+    # Counted from the written files, so no plan runs twice.
+    return version, {name: df.count() for name, df in written.items()}
 
 
 def publish(spark: SparkSession, root: str, version: str, at: datetime) -> None:

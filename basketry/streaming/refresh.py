@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from basketry.functions import scalars as X
-from basketry.model import MONEY_SUM
+from basketry.model import cents
 
-STATE = "cliente_id bigint, total decimal(38,2), frecuencia bigint"
+STATE = "cliente_id bigint, centavos bigint, frecuencia bigint"
 
 
 def batch_state(sales: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def batch_state(sales: DataFrame) -> DataFrame:
     return (
         sales.where(F.col("cliente_id").isNotNull())
         .groupBy("cliente_id")
-        .agg(F.sum("total").cast(MONEY_SUM).alias("total"), F.count(F.lit(1)).alias("frecuencia"))
+        .agg(F.sum(cents(F.col("total"))).alias("centavos"), F.count(F.lit(1)).alias("frecuencia"))
     )
 
 
@@ -30,12 +30,12 @@ def merge_state(old: DataFrame, new: DataFrame) -> DataFrame:
     return (
         old.unionByName(new)
         .groupBy("cliente_id")
-        .agg(F.sum("total").cast(MONEY_SUM).alias("total"), F.sum("frecuencia").alias("frecuencia"))
+        .agg(F.sum("centavos").alias("centavos"), F.sum("frecuencia").alias("frecuencia"))
     )
 
 
 def metrics_of(state: DataFrame) -> DataFrame:
-    total = F.col("total").cast("double")
+    total = F.col("centavos") / F.lit(100.0)
     return state.select(
         "cliente_id",
         X.generated_name(X.CUSTOMER_PREFIX, F.col("cliente_id")).alias("nombre"),
@@ -89,5 +89,5 @@ def purchase_stream(spark: SparkSession, folder: str, schema: str, file: str = "
 
 def purchases(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_type") == "purchase").select(
-        F.col("user_id").alias("cliente_id"), F.round("value", 2).cast("decimal(18,2)").alias("total")
+        F.col("user_id").alias("cliente_id"), F.col("value").alias("total")
     )

@@ -64,8 +64,9 @@ def test_top_products_merge_equal_names(spark):
 def test_last_days_fill_gaps_and_null_dates(spark):
     heads = spark.createDataFrame(
         [(1, 1, datetime(2025, 3, 1, 8)), (2, 1, None), (3, 1, datetime(2025, 1, 1))], SALE
-    ).withColumn("total", F.lit(2.5))
-    got = {r["dia"]: r["total"] for r in dashboard.last_days(heads, F.lit(date(2025, 3, 2))).collect()}
+    )
+    lines = spark.createDataFrame([(v, 1, 1, 1, 2.5) for v in (1, 2, 3)], LINE)
+    got = {r["dia"]: r["total"] for r in dashboard.last_days(heads, lines, F.lit(date(2025, 3, 2))).collect()}
     assert len(got) == 30 and got["2025-03-01"] == 2.5 and got["2025-03-02"] == 2.5 and sum(got.values()) == 5.0
 
 
