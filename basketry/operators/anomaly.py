@@ -46,16 +46,26 @@ def sale_features(ventas: DataFrame) -> DataFrame:
 def _sampled(features: DataFrame, rows: int, trees: int, seed: int) -> DataFrame:
     """At most ``SAMPLE`` rows per tree, chosen by a hash of sale and tree.
 
-    A hash threshold keeps about twice the sample in the first pass, so the
-    shuffle carries a few rows per tree, not the table times the trees.
+    One hash per row first cuts the table to a pool of about twice the rows
+    that all trees need; only the pool is hashed once per tree. So a table of
+    any size costs one hash per row, and the shuffle carries the pool.
     """
     buckets = 1 << 30
-    keep = buckets if rows <= 2 * SAMPLE else int(buckets * 2.0 * SAMPLE / rows)
+
+    def share(wanted: int, of: int) -> int:
+        return min(buckets, int(buckets * wanted / max(of, 1)) + 1)
+
+    wanted = 2 * trees * SAMPLE
+    draw = F.pmod(F.xxhash64("venta_id", F.lit(seed)), F.lit(buckets))
+    pool = spread(features.where(draw < share(wanted, rows)).select("venta_id", *FEATURES), "venta_id")
+    keep = share(2 * SAMPLE, min(rows, wanted))
     mark = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64("venta_id", t, F.lit(seed)), F.lit(buckets)).alias("h")),
+        lambda t: F.struct(
+            t.alias("tree"), F.pmod(F.xxhash64("venta_id", t, F.lit(seed + 1)), F.lit(buckets)).alias("h")
+        ),
     )
-    hits = features.select(*FEATURES, "venta_id", F.inline(F.filter(mark, lambda m: m["h"] < keep)))
+    hits = pool.select(*FEATURES, "venta_id", F.inline(F.filter(mark, lambda m: m["h"] < keep)))
     order = Window.partitionBy("tree").orderBy("h", "venta_id")
     return spread(hits, "tree").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE).drop("_r", "h")
 

@@ -18,20 +18,30 @@ def baskets(detalles: DataFrame) -> DataFrame:
     return detalles.select("venta_id", "producto_id").distinct()
 
 
-def _pairs_per_sale(basket: DataFrame, block: int = BLOCK) -> DataFrame:
+def _pairs_per_sale(detalles: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per sale and unordered pair of products (``a`` < ``b``)."""
+    lines = detalles.select("venta_id", "producto_id")
     large = (
-        basket.groupBy("venta_id")
+        lines.groupBy("venta_id")
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > block)
         .select("venta_id", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
     )
-    cut = basket.join(large, "venta_id", "left").select(
-        "venta_id",
-        "producto_id",
-        F.coalesce("_blocks", F.lit(1)).alias("_blocks"),
-        F.coalesce(F.pmod(F.xxhash64("producto_id"), F.col("_blocks")), F.lit(0)).cast("int").alias("_b"),
+    # The usual sale fits in an array: one shuffle, and pairs are made in place.
+    small = (
+        lines.join(large.select("venta_id"), "venta_id", "left_anti")
+        .groupBy("venta_id")
+        .agg(F.collect_set("producto_id").alias("_set"))
+        .select("_set", F.explode("_set").alias("a"))
+        .select("a", F.explode("_set").alias("b"))
+        .where(F.col("a") < F.col("b"))
     )
+    return small.unionByName(_block_pairs(lines.distinct().join(large, "venta_id")))
+
+
+def _block_pairs(basket: DataFrame) -> DataFrame:
+    """Pairs of large sales, made block by block."""
+    cut = basket.withColumn("_b", F.pmod(F.xxhash64("producto_id"), F.col("_blocks")).cast("int"))
     left = cut.select(
         "venta_id",
         F.col("_b").alias("_i"),
@@ -46,13 +56,13 @@ def _pairs_per_sale(basket: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     once = (F.col("_i") != F.col("_j")) | (F.col("_p") < F.col("_q"))
     return left.join(right, ["venta_id", "_i", "_j"]).where(once).select(
-        "venta_id", F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b")
+        F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b")
     )
 
 
 def pair_counts(detalles: DataFrame, block: int = BLOCK) -> DataFrame:
     """Number of sales per unordered pair (``a`` < ``b``)."""
-    return _pairs_per_sale(baskets(detalles), block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return _pairs_per_sale(detalles, block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def mirrored(pairs: DataFrame, *carried: str) -> DataFrame:

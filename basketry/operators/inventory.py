@@ -246,6 +246,12 @@ def _round(todo: DataFrame, fresh: DataFrame | None) -> DataFrame:
 def _with_prefix(state: DataFrame, prefix_rows: int) -> DataFrame:
     """Decide the earliest undecided requests, at most ``prefix_rows`` changes, in order."""
     undecided = state.where(F.col("accepted").isNull())
+    # The leading chunks that hold the prefix; one row per chunk.
+    last, seen = None, 0
+    for row in undecided.groupBy("chunk").count().orderBy("chunk").collect():
+        last, seen = row["chunk"], seen + row["count"]
+        if seen >= prefix_rows:
+            break
     # Changes accepted in this very round are not in ``taken`` yet.
     pending = state.where(F.col("accepted")).select(*_CHANGE).withColumn("accepted", F.lit(True))
     ahead = running_sums(
@@ -256,7 +262,10 @@ def _with_prefix(state: DataFrame, prefix_rows: int) -> DataFrame:
         {"_acc": F.when(F.col("accepted"), F.col("delta")).otherwise(F.lit(0).cast("bigint"))},
     ).where(F.col("accepted").isNull())
     first = (
-        ahead.select("request_id", "fecha", "producto_id", "delta", "stock", (F.col("taken") + F.col("_acc")).alias("taken"))
+        ahead.select(
+            "request_id", "fecha", "chunk", "producto_id", "delta", "stock", (F.col("taken") + F.col("_acc")).alias("taken")
+        )
+        .where(F.col("chunk") <= last)
         .orderBy("fecha", "request_id")
         .limit(prefix_rows)
     )

@@ -21,6 +21,7 @@ REASON_VECTORS = "Recomendado por Deep Learning (embeddings)"
 REASON_FALLBACK = "Misma categoría (fallback)"
 REASON_PICKED = "Misma categoría"
 _INT_MAX = 2**31 - 1
+_MAX_BLOCKS = 512
 
 
 def product_vectors(pairs: DataFrame, sold: DataFrame, iterations: int = 5, seed: int = 42) -> DataFrame:
@@ -37,8 +38,12 @@ def product_vectors(pairs: DataFrame, sold: DataFrame, iterations: int = 5, seed
         high = both.agg(F.max("p1")).first()[0]
         if high > _INT_MAX:
             raise ValueError("product ids above the int range: renumber them with number_rows first")
+        # One block per core, up to a bound: blocks exchange rows pairwise.
+        blocks = min(pairs.sparkSession.sparkContext.defaultParallelism, _MAX_BLOCKS)
         als = ALS(
             rank=EMBEDDING_DIM,
+            numUserBlocks=blocks,
+            numItemBlocks=blocks,
             implicitPrefs=True,
             nonnegative=True,
             maxIter=iterations,

@@ -112,13 +112,24 @@ def sale_documents(
         )
     )
     people = clientes.select(F.col("id").alias("cliente_id"), F.struct("id", "nombre").alias("cliente"))
-    heads = ventas.join(people, "cliente_id", "left")
-    return heads.join(nested, heads["id"] == nested["venta_id"], "left").select(
-        heads["id"],
-        F.coalesce("parte", F.lit(0)).alias("parte"),
-        "fecha",
-        "cliente",
-        F.coalesce("detalles", F.array().cast(nested.schema["detalles"].dataType)).alias("detalles"),
+    # A large sale's header is repeated per part, so the join key is the grouping
+    # key and the nested lines are not shuffled again.
+    heads = (
+        ventas.join(people, "cliente_id", "left")
+        .join(large.withColumnRenamed("venta_id", "id"), "id", "left")
+        .withColumn("parte", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0)))))
+    )
+    nested = nested.withColumnRenamed("venta_id", "id")
+    return (
+        heads.join(nested, ["id", "parte"], "left")
+        .where(F.col("_parts").isNull() | F.col("detalles").isNotNull())
+        .select(
+            "id",
+            "parte",
+            "fecha",
+            "cliente",
+            F.coalesce("detalles", F.array().cast(nested.schema["detalles"].dataType)).alias("detalles"),
+        )
     )
 
 
