@@ -238,6 +238,8 @@ def _round(todo: DataFrame, fresh: DataFrame | None) -> DataFrame:
         .withColumn("_low", (delta <= 0) | (room - F.col("_down") >= delta))
         .select(*_CHANGE, "_high", "_low")
     )
+    # Read twice below, so the running sums are written once.
+    tested = materialize(tested, "bounds")
     votes = tested.groupBy("request_id").agg(F.min("_high").alias("_all_high"), F.min("_low").alias("_all_low"))
     accepted = F.when(F.col("_all_high"), F.lit(True)).when(~F.col("_all_low"), F.lit(False))
     return tested.join(votes, "request_id").select(*_CHANGE, accepted.alias("accepted"))

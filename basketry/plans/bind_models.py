@@ -562,10 +562,18 @@ def _(r: Retail) -> DataFrame:
     return log.select("tipo", "num_registros", "estado", F.to_date("fecha_sincronizacion").alias("dia"))
 
 
-@query("n25_trained_models")
+@query(
+    "n25_trained_models",
+    _FIT
+    + """
+    SELECT 'price_predictor' AS model_name, round(r2, 6) AS accuracy, n AS samples_count FROM fit
+    UNION ALL SELECT 'customer_segmentation', NULL, count(*) FROM metrica
+    UNION ALL SELECT 'anomaly_detector', NULL, count(*) FROM venta
+    """,
+)
 def _(r: Retail) -> DataFrame:
     runs = train_models(r.spark, _synced(r), NOW)
-    return registry.model_info(runs).select("model_name", "accuracy", "samples_count")
+    return registry.model_info(runs).select("model_name", F.round("accuracy", 6).alias("accuracy"), "samples_count")
 
 
 _PURCHASES = """
