@@ -20,7 +20,7 @@ SEED = 42
 RESTARTS = 10
 MIN_CUSTOMERS = 5
 
-PARALLEL = 4  # restarts submitted at a time
+PARALLEL = RESTARTS  # restarts submitted at a time
 
 
 def feature_scales(metrics: DataFrame) -> DataFrame:

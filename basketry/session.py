@@ -28,20 +28,28 @@ def build_session(app: str = "basketry", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_local_dirs: dict[str, str] = {}
+
+
+def _named_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     A temporary folder is made only for a local master with nothing set; on a
     cluster an unset folder is an error, since executors could not share it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = _named_dir(spark)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="basketry-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="basketry-")
+    return _local_dirs[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
