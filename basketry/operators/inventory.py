@@ -25,7 +25,6 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from basketry.functions.ranking import range_chunks, running_sums
 from basketry.operators.sales import sale_facts
@@ -42,6 +41,8 @@ NO_PRODUCT = "Producto no encontrado"
 NO_STOCK_SET = "Producto '%s' no tiene stock configurado"
 SHORT = "Stock insuficiente para producto '%s'. Disponible: %d, Solicitado: %d"
 
+_LINES = 4096  # lines of one request and product per chunk of a running sum
+
 _CHANGE = ["request_id", "fecha", "chunk", "producto_id", "delta", "stock", "taken"]
 
 
@@ -304,7 +305,12 @@ def _motives(decided: DataFrame, new_known: DataFrame, old: DataFrame, final: Da
     lines of its request.
     """
     rejected = decided.where(~F.col("accepted") & F.col("_head_error").isNull()).select("request_id", "fecha", "chunk")
-    lines = new_known.join(rejected, "request_id")
+    # A line without a readable product id is an unknown product like any other.
+    lines = (
+        new_known.withColumn("producto_id", F.coalesce("producto_id", F.lit(-1)))
+        .join(rejected, "request_id")
+        .withColumn("_part", F.floor(F.col("linea") / _LINES))
+    )
     asks = lines.groupBy("request_id", "fecha", "chunk", "producto_id").agg(F.lit(0).cast("bigint").alias("delta"))
     log = asks.withColumn("_ask", F.lit(True)).unionByName(
         final.select("request_id", "fecha", "chunk", "producto_id", "delta").withColumn("_ask", F.lit(False))
@@ -319,12 +325,9 @@ def _motives(decided: DataFrame, new_known: DataFrame, old: DataFrame, final: Da
         .groupBy("request_id", "producto_id")
         .agg(F.sum("cantidad").alias("_back"))
     )
-    earlier = Window.partitionBy("request_id", "producto_id").orderBy("linea").rowsBetween(Window.unboundedPreceding, -1)
-    free = (
-        F.col("stock")
-        - F.col("_before")
-        + F.coalesce("_back", F.lit(0))
-        - F.coalesce(F.sum("cantidad").over(earlier), F.lit(0))
+    free = F.col("stock") - F.col("_before") + F.coalesce("_back", F.lit(0)) - F.col("_earlier")
+    lines = running_sums(
+        lines, ["request_id", "producto_id"], "_part", ["linea"], {"_earlier": F.col("cantidad").cast("bigint")}
     )
     tested = (
         lines.join(before, ["request_id", "producto_id"], "left")

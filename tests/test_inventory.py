@@ -153,3 +153,15 @@ def test_requests_with_arrays(spark):
     assert tuple(heads.first()) == (1, "create", 1, 4, datetime(2025, 10, 23))
     assert [tuple(r) for r in lines.orderBy("linea").collect()] == [(1, 0, 5, 2, 1.5), (1, 1, None, 1, 1.0)]
     assert lines.where(F.col("producto_id").isNull()).count() == 1
+
+
+def test_one_large_request_and_unreadable_products(spark, monkeypatch):
+    monkeypatch.setattr(inv, "_LINES", 7)
+    heads = [(1, inv.CREATE, 1, 1, DAY), (2, inv.CREATE, 2, 1, DAY), (3, inv.CREATE, 3, 1, DAY)]
+    lines = [(1, n, 0, 1, 1.0) for n in range(60)] + [(2, 0, 0, 1, 1.0), (2, 1, None, 1, 1.0), (3, 0, 0, 40, 1.0)]
+    result = run(spark, heads, lines, [1], [(0, "pan", 45)])
+    assert {r["request_id"]: r["motivo"] for r in result.decisions.collect()} == {
+        1: inv.SHORT % ("pan", 0, 1),
+        2: inv.NO_PRODUCT,
+        3: None,
+    }
