@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketry.llm import linededup, mixing, quality, sharding
+from basketry.llm import bpe, linededup, minhash, mixing, quality, sharding, topk
 from basketry.llm.common import load
 
 QUERIES = {}
@@ -43,3 +43,22 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     shuffled = sharding.shuffle_into_shards(load(spark, sf_dir, "documents"))
     return shuffled.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@_query("op5_bpe_encode")
+def op5(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return bpe.encode(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@_query("op6_minhash_dedup")
+def op6(spark, sf_dir):
+    found = minhash.near_components(load(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
+    )
+
+
+@_query("op8_top_k")
+def op8(spark, sf_dir):
+    return topk.top_k(load(spark, sf_dir, "embeddings"))
