@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, linededup, minhash, mixing, quality, sharding, topk
+from basketry.llm import bpe, ctw, langid, linededup, minhash, mixing, quality, sharding, topk
 from basketry.llm.common import load
 
 QUERIES = {}
@@ -62,3 +62,19 @@ def op6(spark, sf_dir):
 @_query("op8_top_k")
 def op8(spark, sf_dir):
     return topk.top_k(load(spark, sf_dir, "embeddings"))
+
+
+def _remainder(parts):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@_query("op2_ppm_language")
+def op2(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    found = langid.identify(docs, _remainder(4) != 2)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@_query("op3_ctw_score")
+def op3(spark, sf_dir):
+    return ctw.score(load(spark, sf_dir, "documents"), _remainder(7) == 2)
