@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, ctw, langid, linededup, minhash, mixing, quality, sharding, topk
+from basketry.llm import bpe, ctw, langid, linededup, minhash, mixing, quality, sharding, topk, warc
 from basketry.llm.common import load
+from basketry.session import scratch_path
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +79,11 @@ def op2(spark, sf_dir):
 @_query("op3_ctw_score")
 def op3(spark, sf_dir):
     return ctw.score(load(spark, sf_dir, "documents"), _remainder(7) == 2)
+
+
+@_query("op1_warc")
+def op1(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    path = path if "://" in path else f"file://{path}"
+    archives = warc.read(warc.write(load(spark, sf_dir, "pages"), path), path)
+    return archives.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
