@@ -169,3 +169,100 @@ def test_top_k_equals_all_scores(spark):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(order)]
     assert got == want
     assert topk.top_k(table.limit(0)).count() == 0
+
+
+def test_warc_round_trip(spark, none, tmp_path):
+    from basketry.llm import warc
+
+    pages = spark.createDataFrame(
+        [(1, "u", "a", "x"), (2, None, None, "x"), (3, "v", "", "x"), (None, "w", "a", "x"), (4, "z", "a", "x"), (4, "z", "a", "x"), (5, "y", "é" * 9000, "x")],
+        "page_id long, url string, html string, shard string",
+    )
+    path = f"file://{tmp_path}/warc"
+    manifest = warc.write(pages, path, file_bytes=1)
+    assert manifest.count() == 7 and not [p for p in (tmp_path / "warc").iterdir() if p.name.startswith("_")]
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to, r.intact) for r in warc.read(manifest, path).collect()), key=str)
+    want = [
+        (0, 1, "response", None, True), (1, 1, "response", None, True), (2, 0, "response", None, True), (3, 0, "revisit", 2, True),
+        (4, 1, "revisit", 1, True), (4, 1, "revisit", 1, True), (5, 18000, "response", None, True),
+    ]
+    assert got == want
+    again = f"file://{tmp_path}/again"
+    warc.write(pages, again, file_bytes=1)
+    read = lambda d: {p.name: p.read_bytes() for p in (tmp_path / d).iterdir()}
+    assert read("warc") == read("again")
+    assert warc.write(pages.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+def test_language_held_out_and_odd_texts(spark, docs, none):
+    from basketry.llm import langid
+    from basketry.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = [r for r in QUERIES["op2_ppm_language"](spark, sf).collect() if r.held_out]
+    assert len(rows) > 100 and sum(lang[r.doc_id] == r.lang_pred for r in rows) >= 0.95 * len(rows)
+    odd = langid.identify(docs.withColumn("lang", F.when(F.col("doc_id") == 1, "xx")), F.lit(True)).collect()
+    assert {r.doc_id: r.lang_pred for r in odd}[4] == "und" and {r.doc_id: r.lang_pred for r in odd}[6] == "und" and len(odd) == docs.count()
+    assert {r.lang_pred for r in langid.identify(docs, F.lit(False)).collect()} == {"und"}
+    assert langid.identify(none, F.lit(True)).count() == 0
+
+
+def test_scores_equal_a_plain_context_tree(spark, docs, none):
+    import math
+    from basketry.llm import ctw
+
+    given = docs.where("doc_id in (1, 3, 4, 5, 7, 12)")
+    rows = [(r.doc_id, (r.text or "").lower()) for r in given.collect()]
+    train = [t for i, t in rows if i != 3]
+    counts = collections.Counter(w for t in train for w in t.split() + [None])
+    total, kinds = sum(counts.values()), len(counts)
+    node = collections.defaultdict(lambda: [0, 0])
+    kids = collections.defaultdict(set)
+
+    def steps(t):
+        raw = bytes([255] * 3) + t.encode() + bytes([255])
+        for i in range(3, len(raw)):
+            for j in range(8):
+                yield [(raw[i - d : i], (256 | raw[i]) >> (8 - j)) for d in range(4)], raw[i] >> (7 - j) & 1
+
+    for t in train:
+        for path, bit in steps(t):
+            for d, k in enumerate(path):
+                node[k][bit] += 1
+                if d < 3:
+                    kids[k].add(path[d + 1])
+
+    def kt(k):
+        a, b = node[k]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    memo = {}
+
+    def weigh(k):
+        if k not in memo:
+            if len(k[0]) == 3:
+                memo[k] = kt(k)
+            else:
+                pe, below = kt(k), sum(weigh(c) for c in kids[k])
+                top = max(pe, below)
+                memo[k] = top + math.log(math.exp(pe - top) + math.exp(below - top)) - math.log(2)
+        return memo[k]
+
+    def chance(path, bit):
+        k = path[0]
+        own = (node[k][bit] + 0.5) / (sum(node[k]) + 1) if k in node else 0.5
+        if len(path) == 1 or path[1] not in node:
+            return own
+        share = math.exp(kt(k) - math.log(2) - weigh(k))
+        return share * own + (1 - share) * chance(path[1:], bit)
+
+    got = ctw.score(given, F.col("doc_id") == 3).collect()
+    want = dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        tokens = want[r.doc_id].split() + [None]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(t in counts for t in tokens), total)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[t] + 1) / (total + kinds + 1)) for t in tokens))
+        assert r.score == pytest.approx(sum(math.log10(chance(p, b)) for p, b in steps(want[r.doc_id])), rel=1e-6)
+    assert ctw.score(none, F.lit(False)).count() == 0
