@@ -110,11 +110,18 @@ def measure(docs: DataFrame, text: str = "text", width: int = 8, rules: Rules |
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("body"), words_of(body).alias("words"))
     windows = F.when(
-        F.size("words") >= width,
-        F.transform(F.sequence(F.lit(1), F.size("words") - (width - 1)), lambda i: F.xxhash64(F.slice("words", i, width))),
+        # Named several times, so that the optimizer does not move the hashing into the lambda.
+        F.size("word_hashes") >= width,
+        F.transform(F.sequence(F.lit(1), F.size("word_hashes") - (width - 1)), lambda i: F.xxhash64(F.slice("word_hashes", i, width))),
     ).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split("body", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
     common = F.regexp_extract_all("body", F.lit(rf"(?:^|[{SPACE}])((?i:{'|'.join(every)}))(?=[{SPACE}.,;:!?]|$)"), F.lit(1))
+    # Each pass works on what the one before has left: words without space, then without lower-case letters, the bulk.
+    rows = rows.withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("solid", F.array_join("words", ""))
+    rows = rows.withColumn("rare", F.regexp_replace("solid", f"[{CLASSES['lower']}]+", ""))
+    rare = {of: _length_of(F.col("rare"), chars) for of, chars in CLASSES.items()}
+    rare["lower"] = F.length("solid") - F.length("rare")
+    rare["space"] = F.length("body") - F.length("solid")
     counted = (
         rows.select(
             "row",
@@ -122,9 +129,9 @@ def measure(docs: DataFrame, text: str = "text", width: int = 8, rules: Rules |
             windows.alias("windows"),
             lines.alias("lines"),
             F.length("body").alias("chars"),
-            F.length(F.regexp_replace("body", f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
-            _length_of(F.col("body"), "#*$%&|<>").cast("long").alias("n_symbols"),
-            F.array(*[_length_of(F.col("body"), of) for of in CLASSES.values()]).alias("classes"),
+            F.length("solid").cast("long").alias("word_chars"),
+            _length_of(F.col("rare"), "#*$%&|<>").cast("long").alias("n_symbols"),
+            F.array(*rare.values()).alias("classes"),
             # Every common word of the text between bars, as one short string.
             F.lower(F.concat(F.lit("|"), F.array_join(common, "||"), F.lit("|"))).alias("common"),
         )
