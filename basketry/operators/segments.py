@@ -46,7 +46,7 @@ def cluster_customers(metrics: DataFrame, restarts: int = RESTARTS, seed: int =
     scaled = scaler.transform(rows).persist()
     starts = [seed + n for n in range(restarts)]
     with ThreadPoolExecutor(PARALLEL) as pool:
-        models = list(pool.map(lambda s: KMeans(k=CLUSTERS, seed=s, maxIter=20).fit(scaled), starts))
+        models = list(pool.map(lambda s: KMeans(k=CLUSTERS, seed=s, maxIter=300).fit(scaled), starts))
     best = min(models, key=lambda m: m.summary.trainingCost)
     out = materialize(best.transform(scaled).select(*metrics.columns, F.col("prediction").alias("cluster")), "clusters")
     scaled.unpersist()

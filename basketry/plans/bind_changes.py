@@ -466,7 +466,7 @@ _NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
     """,
 )
 def _(r: Retail) -> DataFrame:
-    number = F.substring("props", 7, 100)
+    number = F.expr("substr(props, 7)")
     form = r.table("events").select(
         F.col("event_id").alias("id"),
         F.when(F.col("event_type") == "error", F.lit("  ")).otherwise(F.col("event_type")).alias("nombre"),
