@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from basketry.llm import bpe, ctw, langid, linededup, minhash, mixing, quality, sharding, topk, warc
 from basketry.llm.common import load
+from basketry.llm.sql import ORACLES  # noqa: F401
 from basketry.session import scratch_path
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
 
 
 def _query(name):
