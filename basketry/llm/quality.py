@@ -72,6 +72,29 @@ def _length_of(text: Column, of: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{of}]+", ""))
 
 
+def _alternatives(words: Sequence[str]) -> str:
+    """A regex of ``words``, grouped by first letter so that few branches are tried at each place."""
+    by_letter: dict[str, list[str]] = {}
+    for word in words:
+        by_letter.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
+
+
+def _windows(rows: DataFrame, width: int) -> DataFrame:
+    """Adds windows: a hash of each run of ``width`` words, none for shorter texts.
+
+    Runs grow by doubling: two neighbouring runs, or overlapping ones at the
+    last step, make the next; so a word is hashed a few times, not ``width`` times.
+    """
+    rows, covered = rows.withColumn("windows", F.transform("words", lambda w: F.xxhash64(w))), 1
+    while covered < width:
+        step = min(covered, width - covered)
+        later = F.slice("windows", step + 1, F.greatest(F.size("windows") - step, F.lit(0)))
+        joined = F.zip_with(F.slice("windows", 1, F.greatest(F.size("windows") - step, F.lit(0))), later, lambda a, b: F.xxhash64(a, b))
+        rows, covered = rows.withColumn("windows", joined), covered + step
+    return rows
+
+
 def _repeated(rows: DataFrame, width: int) -> DataFrame:
     """Adds n_repeat_words: positions covered by windows that occur twice or more.
 
@@ -109,15 +132,10 @@ def measure(docs: DataFrame, text: str = "text", width: int = 8, rules: Rules |
     every = sorted({w for words in rules.common_words.values() for w in words}, key=lambda w: (-len(w), w))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("body"), words_of(body).alias("words"))
-    windows = F.when(
-        # Named several times, so that the optimizer does not move the hashing into the lambda.
-        F.size("word_hashes") >= width,
-        F.transform(F.sequence(F.lit(1), F.size("word_hashes") - (width - 1)), lambda i: F.xxhash64(F.slice("word_hashes", i, width))),
-    ).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split("body", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
-    common = F.regexp_extract_all("body", F.lit(rf"(?:^|[{SPACE}])((?i:{'|'.join(every)}))(?=[{SPACE}.,;:!?]|$)"), F.lit(1))
+    common = F.regexp_extract_all("body", F.lit(rf"(?:^|[{SPACE}])((?i:{_alternatives(every)}))(?=[{SPACE}.,;:!?]|$)"), F.lit(1))
     # Each pass works on what the one before has left: words without space, then without lower-case letters, the bulk.
-    rows = rows.withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("solid", F.array_join("words", ""))
+    rows = _windows(rows, width).withColumn("solid", F.array_join("words", ""))
     rows = rows.withColumn("rare", F.regexp_replace("solid", f"[{CLASSES['lower']}]+", ""))
     rare = {of: _length_of(F.col("rare"), chars) for of, chars in CLASSES.items()}
     rare["lower"] = F.length("solid") - F.length("rare")
@@ -126,7 +144,7 @@ def measure(docs: DataFrame, text: str = "text", width: int = 8, rules: Rules |
         rows.select(
             "row",
             F.size("words").cast("long").alias("n_words"),
-            windows.alias("windows"),
+            "windows",
             lines.alias("lines"),
             F.length("body").alias("chars"),
             F.length("solid").cast("long").alias("word_chars"),
@@ -146,11 +164,12 @@ def measure(docs: DataFrame, text: str = "text", width: int = 8, rules: Rules |
     judged = counted.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars",
         F.concat(F.col("classes"), F.array(F.col("chars") - F.aggregate("classes", F.lit(0), lambda a, x: a + x))).alias("classes"),
-        F.struct(*[F.array(*[times(w) for w in rules.common_words[c]]).alias(c) for c in languages]).alias("common"),
+        # Columns of their own: fields of a struct would be inlined, and counted anew, wherever they are read.
+        *[F.array(*[times(w) for w in rules.common_words[c]]).alias(f"common_{c}") for c in languages],
     )
     distances = []
     for language in languages:
-        found = F.col(f"common.{language}")
+        found = F.col(f"common_{language}")
         n = F.col("n_words").cast("double")
         rest = F.greatest(n - F.aggregate(found, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
         shares = [FIRST_WORD_SHARE / (r + 1) for r in range(len(rules.common_words[language]))]
