@@ -28,11 +28,16 @@ def windows(text: str) -> np.ndarray:
     return (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
 
 
+def in_sample(key: Column, chars: Column) -> Column:
+    """Whether a row of a language of ``chars`` characters is drawn; in doubles, since the product passes the longs."""
+    return F.pmod(F.xxhash64(F.lit(2), key), F.lit(1 << 30)).cast("double") * chars < F.lit(SAMPLE_CHARS) * F.lit(1 << 30).cast("double")
+
+
 def training(docs: DataFrame, usable: Column, text: str, lang: str, key: str) -> DataFrame:
     """(lang, window, n) of a hash sample of the usable rows, bounded per language."""
     rows = docs.where(usable).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("id"))
     sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
-    drawn = rows.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30)) * F.col("chars") < F.lit(SAMPLE_CHARS) * F.lit(1 << 30).cast("double"))
+    drawn = rows.join(sizes, "lang").where(in_sample(F.col("id"), F.col("chars")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

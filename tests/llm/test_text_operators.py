@@ -266,3 +266,11 @@ def test_scores_equal_a_plain_context_tree(spark, docs, none):
         assert r.base_score == pytest.approx(sum(math.log10((counts[t] + 1) / (total + kinds + 1)) for t in tokens))
         assert r.score == pytest.approx(sum(math.log10(chance(p, b)) for p, b in steps(want[r.doc_id])), rel=1e-6)
     assert ctw.score(none, F.lit(False)).count() == 0
+
+
+def test_language_sample_of_a_huge_table(spark):
+    from basketry.llm import langid
+
+    drawn = spark.range(200_000).where(langid.in_sample(F.col("id"), F.lit(10**11))).count()
+    assert drawn <= 40  # 4 million of 1e11 characters are 8 of these rows
+    assert spark.range(1000).where(langid.in_sample(F.col("id"), F.lit(1000))).count() == 1000
