@@ -42,8 +42,8 @@ def category_codes(snapshot: DataFrame) -> DataFrame:
     return dense_position(names, "categoria", "codigo", start=0)
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    assembler = VectorAssembler(inputCols=_INPUT, outputCol="features", handleInvalid="skip")
+def _features(rows: DataFrame, invalid: str = "skip") -> DataFrame:
+    assembler = VectorAssembler(inputCols=_INPUT, outputCol="features", handleInvalid=invalid)
     return assembler.transform(rows.withColumn("len_nombre", X.text_length(F.col("nombre"))))
 
 
@@ -59,12 +59,13 @@ def train_prices(snapshot: DataFrame) -> PriceModel | None:
 
 
 def suggest_prices(model: PriceModel, requests: DataFrame) -> DataFrame:
-    """Price per request row; an unknown category takes the middle code."""
+    """Price per request row; an unknown category takes the middle code, a request that lacks a feature gets no price."""
     coded = requests.join(model.codes, "categoria", "left").withColumn(
         "codigo", F.coalesce("codigo", F.lit(model.classes // 2))
     )
-    return model.regression.transform(_features(coded)).select(
+    priced = F.round("prediction", 2)
+    return model.regression.transform(_features(coded, "keep")).select(
         *requests.columns,
-        F.round("prediction", 2).alias("precio_sugerido"),
-        F.lit(CONFIDENCE).alias("confianza"),
+        F.when(~F.isnan("prediction"), priced).alias("precio_sugerido"),
+        F.when(~F.isnan("prediction"), F.lit(CONFIDENCE)).alias("confianza"),
     )

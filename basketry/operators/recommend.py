@@ -12,8 +12,9 @@ from basketry.operators.basket import mirrored
 from basketry.operators.similar import top_similar
 from basketry.session import materialize
 
-# Vector length, list length, fallback scores and reasons.
+# Vector length, rounds of training, list length, fallback scores and reasons.
 EMBEDDING_DIM = 32
+ITERATIONS = 30
 TOP_N = 4
 FALLBACK_SCORE = 0.75
 PICKED_SCORE = 0.85
@@ -24,7 +25,7 @@ _INT_MAX = 2**31 - 1
 _MAX_BLOCKS = 512
 
 
-def product_vectors(pairs: DataFrame, sold: DataFrame, iterations: int = 5, seed: int = 42) -> DataFrame:
+def product_vectors(pairs: DataFrame, sold: DataFrame, iterations: int = ITERATIONS, seed: int = 42) -> DataFrame:
     """A vector of 32 non-negative numbers per sold product.
 
     ``pairs`` are unordered co-purchase pairs (``a``, ``b``); the binary matrix

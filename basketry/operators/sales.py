@@ -78,7 +78,8 @@ def sale_documents(
 
     Sales are one document each (``parte`` 0). A sale above ``lines_per_part``
     lines is cut into parts by a hash of its lines, so no array and no task
-    ever holds an unbounded sale; the parts together are the whole sale.
+    ever holds an unbounded sale; the parts together are the whole sale. A line
+    of an unknown product stays, with the id of the product only.
     """
     lines = with_subtotal(detalles)
     large = (
@@ -93,7 +94,7 @@ def sale_documents(
         F.col("id").alias("producto_id"), F.col("nombre").alias("producto"), F.col("categoria")
     )
     nested = (
-        lines.join(catalog, "producto_id")
+        lines.join(catalog, "producto_id", "left")
         .groupBy("venta_id", "parte")
         .agg(
             F.sort_array(

@@ -106,6 +106,14 @@ def test_same_category_without_pairs(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_vectors_train_for_all_rounds(spark):
+    lines = spark.createDataFrame([(s, p) for s in range(20) for p in (s % 3, 3 + s % 2)], "venta_id bigint, producto_id bigint")
+    pairs = basket.pair_counts(lines)
+    vectors = lambda **how: {r["id"]: r["embedding"] for r in recommend.product_vectors(pairs, lines, **how).collect()}
+    default = vectors()
+    assert default != vectors(iterations=5) and default == vectors(iterations=30)
+
+
 def test_product_vectors(spark):
     lines = spark.createDataFrame([(s, p) for s in range(20) for p in (s % 3, 3 + s % 2)] + [(99, 77)], "venta_id bigint, producto_id bigint")
     pairs = basket.pair_counts(lines)

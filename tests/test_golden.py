@@ -43,6 +43,15 @@ def test_large_sale_is_cut_into_parts(spark):
     assert sales.explode_documents(docs).where("linea is not null").count() == 201
 
 
+def test_line_of_unknown_product_stays_in_its_document(spark):
+    heads = spark.createDataFrame([(1, 1, None)], SALE)
+    detalles = spark.createDataFrame([(1, 7, 1, 1, 1.0), (1, 99, 2, 3, 2.0)], LINE)
+    people = spark.createDataFrame([(1, "Ana")], "id bigint, nombre string")
+    products = spark.createDataFrame([(7, "pan", "c")], "id bigint, nombre string, categoria string")
+    doc = sales.sale_documents(heads, detalles, people, products).first()
+    assert {(d.producto.id, d.producto.nombre, d.cantidad) for d in doc.detalles} == {(7, "pan", 1), (99, None, 3)}
+
+
 def test_null_stock_and_missing_category(spark):
     products = spark.createDataFrame(
         [(1, "a", 0.01, 1, 7), (2, "b", 999.99, 9999, None), (3, "c", 5.5, None, 9)],

@@ -123,6 +123,14 @@ def test_price_model(spark):
     assert pricing.train_prices(snapshot.limit(9)) is None
 
 
+def test_request_without_stock_stays_unpriced(spark):
+    rows = [(i, "n" * (3 + i % 5), "abc"[i % 3], 1.0 + i % 11, i % 11) for i in range(60)]
+    model = pricing.train_prices(spark.createDataFrame(rows, "id bigint, nombre string, categoria string, precio double, stock int"))
+    asked = spark.createDataFrame([(1, "c", 4, "pan"), (2, "c", None, "pan")], "id bigint, categoria string, stock int, nombre string")
+    got = {r["id"]: (r["precio_sugerido"], r["confianza"]) for r in pricing.suggest_prices(model, asked).collect()}
+    assert set(got) == {1, 2} and got[1][0] is not None and got[2] == (None, None)
+
+
 KEYWORDS = [(24, 0, "apple"), (24, 1, "Granny Smith"), (25, 0, "banana"), (29, 0, "pineapple"), (8, 0, "can")]
 
 
