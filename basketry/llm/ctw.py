@@ -5,7 +5,10 @@ it. A node holds a Krichevsky-Trofimov estimate of its counts and is weighted
 half and half against its children, from the deepest level up. A score mixes
 the estimates along the path with the resulting weights, from the root down; a
 context never seen in training leaves the rest of the weight with its parent.
-Levels are grouped and joined tables, so no level has to fit into one task.
+Contexts of up to TOP bytes are grouped and joined tables. The subtrees below
+them are dealt into groups of bounded mean size and weighted in numpy, so no
+level has to fit into one task. Texts are counted and scored in chunks, each
+with the windows and tokens it has.
 """
 
 from __future__ import annotations
@@ -16,114 +19,265 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.session import materialize
+from basketry.session import materialize, spread
 
-DEPTH = 3
+TOP = 3  # bytes of context whose nodes are tables
+DEPTH = 6  # bytes of context of the registered query; a window of 7 bytes is one long
 END = 0xFF  # never a byte of UTF-8; stands before and after a text
+CHUNK_BYTES = 32 << 20
+_BLOCK_BYTES = 4 << 20  # counted at once
+_GROUP = 250_000  # mean number of windows in a group of subtrees
+_BATCH = 200_000
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per text its distinct tokens (kind 0) and byte windows (kind 1) with counts."""
+def windows(raw: bytes, depth: int) -> np.ndarray:
+    """Each byte of a text and its end, with the ``depth`` bytes before it, as one number."""
+    b = np.frombuffer(bytes([END] * depth) + raw + bytes([END]), np.uint8).astype(np.int64)
+    out = np.zeros(len(b) - depth, np.int64)
+    for k in range(depth + 1):
+        out = (out << 8) | b[k : len(b) - depth + k]
+    return out
+
+
+def _raw(text: str) -> bytes:
+    return text.encode("utf-8", "replace").lower()
+
+
+def _cut(batches):
+    """Adds the chunk of each row: about CHUNK_BYTES of text of one task."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    base, before = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        for doc, body, text in zip(batch["doc"], batch["body"], batch["text"], strict=True):
-            raw = text.encode("utf-8", "replace").lower()
-            tokens = Counter(raw.split())
-            b = np.frombuffer(bytes([END] * DEPTH) + raw + bytes([END]), np.uint8).astype(np.int64)
-            w, n = np.unique((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:], return_counts=True)
-            yield pd.DataFrame(
-                {
-                    "doc": doc, "body": body,
-                    "token": [*(t.decode() for t in tokens), *[None] * (len(w) + 1)],
-                    "window": [-1] * (len(tokens) + 1) + w.tolist(),
-                    "n": [*tokens.values(), 1, *n.tolist()],
-                }
-            ).astype({"doc": "Int64"})
-
-
-def _lgamma(x: Column) -> Column:
+        sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = before + np.cumsum(sizes) - sizes
+        before += int(sizes.sum())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + starts // CHUNK_BYTES)], names=["doc", "text", "held_out", "chunk"])
+
+
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kinds, at = np.unique(keys, return_inverse=True)
+    return kinds, np.bincount(at, n, len(kinds)).astype(np.int64)
+
+
+def _counts(depth: int):
+    """Per chunk its distinct tokens (window -1, a null token is the end) and windows with their counts in training."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, tokens, known, block, size = None, Counter(), (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+
+        def fold():
+            nonlocal known, block, size
+            if block:
+                w = np.concatenate([known[0], *(x for x, _ in block)])
+                n = np.concatenate([known[1], *(np.full(len(x), learn, np.int64) for x, learn in block)])
+                known, block, size = _sums(w, n), [], 0
+
+        def flush():
+            fold()
+            names = list(tokens)
+            for at in range(0, len(names), _BATCH):
+                some = names[at : at + _BATCH]
+                yield pd.DataFrame({"chunk": chunk, "token": [None if t is None else t.decode() for t in some], "window": -1, "n": [tokens[t] for t in some]})
+            for at in range(0, len(known[0]), _BATCH):
+                w = known[0][at : at + _BATCH]
+                yield pd.DataFrame({"chunk": chunk, "token": pd.Series([None] * len(w), dtype=object), "window": w, "n": known[1][at : at + _BATCH]})
+
+        for batch in batches:
+            for of, text, held_out in zip(batch["chunk"], batch["text"], batch["held_out"], strict=True):
+                if of != chunk:
+                    yield from flush()
+                    chunk, tokens, known = of, Counter(), (known[0][:0], known[1][:0])
+                raw, learn = _raw(text), int(not held_out)
+                for t in [*raw.split(), None]:
+                    tokens[t] += learn
+                block.append((windows(raw, depth), learn))
+                size += len(raw) + 1
+                if size >= _BLOCK_BYTES:
+                    fold()
+        yield from flush()
+
+    return count
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for x >= 0.5 by Stirling's series at x + 8."""
-    y = x + 8
-    shift = F.lit(0.0)
-    for i in range(8):
-        shift = shift + F.log(x + i)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) - shift
+    y, shift = x + 8, np.ones_like(x)
+    for i in range(4):
+        shift *= x + i
+    rest = np.ones_like(x)
+    for i in range(4, 8):
+        rest *= x + i
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(shift) - np.log(rest)
+
+
+def _estimate(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of the counts."""
+    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1.0) - math.log(math.pi)
+
+
+def _by_depth(window: np.ndarray, n: np.ndarray, depth: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per depth from TOP on the contexts with the byte that follows, sorted, and their counts."""
+    out = {depth: _sums(window, n)}
+    for d in range(depth - 1, TOP - 1, -1):
+        out[d] = _sums(out[d + 1][0] & ((1 << (8 * (d + 1))) - 1), out[d + 1][1])
+    return out
 
 
-def byte_model(windows: DataFrame) -> DataFrame:
+def _weigh(levels: dict, depth: int, j: int) -> dict[int, tuple[np.ndarray, ...]]:
+    """Per depth the nodes of bit ``j``: key, n0, n1, log of the weighted probability, share of the own estimate."""
+    out: dict[int, tuple[np.ndarray, ...]] = {}
+    for d in range(depth, TOP - 1, -1):
+        keys, n = levels[d]
+        node = keys >> (8 - j)
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        bit = (keys >> (7 - j)) & 1
+        n1 = np.add.reduceat(n * bit, starts).astype(float)
+        n0 = np.add.reduceat(n, starts) - n1
+        node, pe = node[starts], _estimate(n0, n1)
+        if d == depth:
+            pw, share = pe, np.ones_like(pe)
+        else:
+            up = out[d + 1][0] & ((1 << (8 * d + j)) - 1)
+            below = np.bincount(np.searchsorted(node, up), out[d + 1][3], len(node))
+            pw = np.logaddexp(pe, below) - math.log(2)
+            share = np.exp(pe - math.log(2) - pw)
+        out[d] = (node, n0, n1, pw, share)
+    return out
+
+
+def _up(depth: int):
+    def up(part: pd.DataFrame) -> pd.DataFrame:
+        levels = _by_depth(part["window"].to_numpy(), part["n"].to_numpy(), depth)
+        found = []
+        for j in range(8):
+            node, n0, n1, pw, share = _weigh(levels, depth, j)[TOP]
+            at = (1 << j) | (node & ((1 << j) - 1))
+            found.append(pd.DataFrame({"context": node >> j, "node": at, "n0": n0.astype(np.int64), "n1": n1.astype(np.int64), "pw": pw, "share": share}))
+        return pd.concat(found)
+
+    return up
+
+
+def _down(depth: int):
+    def down(part: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        window = part["window"].to_numpy()
+        levels = _by_depth(window, part["n"].to_numpy(), depth)
+        keys = (path["context"].to_numpy() << 8) | path["node"].to_numpy()
+        order = np.argsort(keys)
+        keys, above = keys[order], [path[c].to_numpy()[order] for c in ("last", "mixed", "rest")]
+        context, total = (window >> 8) & ((1 << (8 * TOP)) - 1), np.zeros(len(window))
+        for j in range(8):
+            tree = _weigh(levels, depth, j) if depth > TOP else {}
+            at = np.searchsorted(keys, (context << 8) | (1 << j) | ((window & 255) >> (8 - j)))
+            last, mixed, rest = (x[at] for x in above)
+            for d in range(TOP + 1, depth + 1):
+                node, n0, n1, _, share = tree[d]
+                at = np.searchsorted(node, (window & ((1 << (8 * (d + 1))) - 1)) >> (8 - j))
+                n, own, part_of = (n0 + n1)[at], ((n1 + 0.5) / (n0 + n1 + 1))[at], share[at]
+                seen = n > 0
+                last = np.where(seen, own, last)
+                mixed = np.where(seen, mixed + rest * part_of * own, mixed)
+                rest = np.where(seen, rest * (1 - part_of), rest)
+            one = mixed + rest * last
+            total += np.log10(np.where((window >> (7 - j)) & 1 == 1, one, 1 - one))
+        return pd.DataFrame({"window": window, "log10p": total})
+
+    return down
+
+
+def byte_model(seen: DataFrame, depth: int = TOP) -> DataFrame:
     """(window, log10p) from (window, n): n counts in training, 0 for windows to be scored only."""
-    bits = windows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
-        "window", "n", F.shiftright("window", 8).alias("context"),
-        F.expr("shiftright(256 | (window & 255), 8 - j)").alias("node"), F.expr("shiftright(window & 255, 7 - j) & 1").alias("bit"),
-    )
-    ones, zeros = F.sum(F.col("n") * F.col("bit")), F.sum(F.col("n") * (1 - F.col("bit")))
-    level = bits.groupBy("context", "node").agg(zeros.alias("n0"), ones.alias("n1")).withColumn("below", F.lit(0.0))
-    nodes = []
-    for depth in range(DEPTH, -1, -1):
-        pe = _lgamma(F.col("n0") + 0.5) + _lgamma(F.col("n1") + 0.5) - _lgamma(F.col("n0") + F.col("n1") + 1.0) - math.log(math.pi)
+    groups = max(1, -(-seen.count() // _GROUP))
+    dealt = lambda df, context: spread(df.withColumn("group", F.pmod(F.xxhash64(context), F.lit(groups))), "group")
+    given = dealt(seen.select("window", "n"), F.expr(f"shiftright(window, 8) & {(1 << (8 * TOP)) - 1}"))
+    level = given.groupBy("group").applyInPandas(_up(depth), "context long, node long, n0 long, n1 long, pw double, share double")
+    level = materialize(level, "context-nodes")
+    nodes = [level]
+    for d in range(TOP - 1, -1, -1):
+        up = F.expr(f"context & {(1 << (8 * d)) - 1}")
+        level = level.groupBy(up.alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
+        pe = _lgamma_column(F.col("n0") + 0.5) + _lgamma_column(F.col("n1") + 0.5) - _lgamma_column(F.col("n0") + F.col("n1") + 1.0) - math.log(math.pi)
         both = F.greatest("pe", "below") + F.log1p(F.exp(-F.abs(F.col("pe") - F.col("below")))) - math.log(2)
-        level = level.withColumn("pe", pe).withColumn("pw", F.col("pe") if depth == DEPTH else both)
-        share = F.lit(1.0) if depth == DEPTH else F.exp(F.col("pe") - math.log(2) - F.col("pw"))
-        level = materialize(level.select("context", "node", "n0", "n1", "pw", share.alias("share")), "context-nodes")
+        level = level.withColumn("pe", pe).withColumn("pw", both)
+        level = materialize(level.select("context", "node", "n0", "n1", "pw", F.exp(F.col("pe") - math.log(2) - F.col("pw")).alias("share")), "context-nodes")
         nodes.append(level)
-        up = F.expr(f"context & {(1 << (8 * (depth - 1))) - 1}") if depth else F.col("context")
-        level = level.groupBy(up.alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
     # Down the path: what is mixed so far, and the weight that is left for deeper contexts.
     estimate = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
     path = nodes[-1].select("context", "node", estimate.alias("last"), (F.col("share") * estimate).alias("mixed"), (1 - F.col("share")).alias("rest"))
-    for depth, level in enumerate(reversed(nodes[:-1]), 1):
+    for d, level in enumerate(reversed(nodes[:-1]), 1):
         above = path.select(F.col("context").alias("up"), F.col("node").alias("of"), "last", "mixed", "rest")
-        seen = F.col("n0") + F.col("n1") > 0
-        joined = level.join(above, (F.expr(f"context & {(1 << (8 * (depth - 1))) - 1}") == F.col("up")) & (F.col("node") == F.col("of")))
+        known = F.col("n0") + F.col("n1") > 0
+        joined = level.join(above, (F.expr(f"context & {(1 << (8 * (d - 1))) - 1}") == F.col("up")) & (F.col("node") == F.col("of")))
         path = joined.select(
-            "context", "node", F.when(seen, estimate).otherwise(F.col("last")).alias("last"),
-            F.when(seen, F.col("mixed") + F.col("rest") * F.col("share") * estimate).otherwise(F.col("mixed")).alias("mixed"),
-            F.when(seen, F.col("rest") * (1 - F.col("share"))).otherwise(F.col("rest")).alias("rest"),
+            "context", "node", F.when(known, estimate).otherwise(F.col("last")).alias("last"),
+            F.when(known, F.col("mixed") + F.col("rest") * F.col("share") * estimate).otherwise(F.col("mixed")).alias("mixed"),
+            F.when(known, F.col("rest") * (1 - F.col("share"))).otherwise(F.col("rest")).alias("rest"),
         )
-    one = F.col("mixed") + F.col("rest") * F.col("last")
-    chance = F.when(F.col("bit") == 1, one).otherwise(1 - one)
-    return bits.join(path, ["context", "node"]).groupBy("window").agg(F.sum(F.log10(chance)).alias("log10p"))
+    paths = dealt(path, F.col("context")).groupBy("group")
+    return given.groupBy("group").cogroup(paths).applyInPandas(_down(depth), "window long, log10p double")
 
 
-def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _lgamma_column(x: Column) -> Column:
+    """``_lgamma`` of a column."""
+    y = x + 8
+    shift = F.lit(0.0)
+    for i in range(8):
+        shift = shift + F.log(x + i)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) - shift
+
+
+def _scored(depth: int, total: int):
+    def scored(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        is_token = table["window"].to_numpy() < 0
+        words = table[is_token]
+        base = {None if pd.isna(t) else t.encode(): (p, k) for t, p, k in zip(words["token"], words["log10p"], words["known"], strict=True)}
+        order = np.argsort(table["window"].to_numpy()[~is_token])
+        keys, logs = (table[c].to_numpy()[~is_token][order] for c in ("window", "log10p"))
+        out = []
+        for doc, held_out, text in zip(texts["doc"], texts["held_out"], texts["text"], strict=True):
+            raw = _raw(text)
+            found = [base[t] for t in [*raw.split(), None]]
+            score = float(logs[np.searchsorted(keys, windows(raw, depth))].sum())
+            out.append((doc, held_out, len(found), sum(k for _, k in found), total, sum(p for p, _ in found), score))
+        return pd.DataFrame(out, columns=["doc", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return scored
+
+
+def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", depth: int = TOP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
     Learns from all rows that are not held out. Null text counts as empty: its one
-    token is the end. Rows that repeat id and text are learned from once each
-    and get equal scores. ``score`` is the log10 probability of the bytes of the text in
-    lower case and of its end.
+    token is the end. ``score`` is the log10 probability of the bytes of the text in
+    lower case and of its end, by contexts of up to ``depth`` bytes (3 to 6).
     """
+    if not TOP <= depth <= DEPTH:
+        raise ValueError(f"depth must be {TOP} to {DEPTH}")
+    # Ids pass pandas as text, which keeps null and large ones exact.
     rows = docs.select(
-        F.col(f"`{key}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
+        F.col(f"`{key}`").cast("long").cast("string").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
-    ).withColumn("body", F.xxhash64("text"))
-    copies = materialize(rows.groupBy("doc", "body", "held_out").agg(F.count("*").alias("copies")), "text-copies")
-    parts = rows.select("doc", "body", "text").dropDuplicates(["doc", "body"]).mapInPandas(
-        _counts, "doc long, body long, token string, window long, n long"
     )
-    parts = materialize(parts, "text-parts")
-    same = lambda df: df.join(copies.select(F.col("doc").alias("d"), F.col("body").alias("b"), "held_out", "copies"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b")))
-    learned = F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("n") * F.col("copies")))
-    counts = same(parts).groupBy("token", "window").agg(learned.alias("c"))
+    texts = materialize(rows.mapInArrow(_cut, "doc string, text string, held_out boolean, chunk long"), "texts")
+    parts = texts.select("chunk", "text", "held_out").mapInPandas(_counts(depth), "chunk long, token string, window long, n long")
+    counts = parts.groupBy("token", "window").agg(F.sum("n").alias("c"), F.collect_set("chunk").alias("chunks"))
     counts = materialize(counts, "part-counts")
     tokens, seen = counts.where("window < 0"), counts.where("window >= 0")
     total, kinds = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
-    model = materialize(byte_model(seen.select("window", F.col("c").alias("n"))), "byte-model")
     base = F.log10((F.col("c") + 1) / F.lit(float(total + kinds + 1)))
-    by_token = (
-        parts.where("window < 0").join(tokens.select(F.col("token").alias("t"), "c"), F.col("token").eqNullSafe(F.col("t")))
-        .groupBy("doc", "body").agg(
-            F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("n") * base).alias("base_score"),
-        )
-    )
-    by_byte = parts.where("window >= 0").join(model, "window").groupBy("doc", "body").agg(F.sum(F.col("n") * F.col("log10p")).alias("score"))
-    by_byte = by_byte.select(F.col("doc").alias("d2"), F.col("body").alias("b2"), "score")
-    both = by_token.join(by_byte, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("body") == F.col("b2")))
-    return (
-        same(both)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(F.col("doc").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    model = materialize(byte_model(seen.select("window", F.col("c").alias("n")), depth), "byte-model")
+    known = (F.col("c") > 0).cast("long").alias("known")
+    table = tokens.select(F.explode("chunks").alias("chunk"), "token", "window", base.alias("log10p"), known).unionByName(
+        seen.join(model, "window").select(F.explode("chunks").alias("chunk"), "token", "window", "log10p", known)
     )
+    return (
+        texts.groupBy("chunk").cogroup(table.groupBy("chunk"))
+        .applyInPandas(_scored(depth, total), "doc string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        .select(F.col("doc").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    )

@@ -78,7 +78,7 @@ def op2(spark, sf_dir):
 
 @_query("op3_ctw_score")
 def op3(spark, sf_dir):
-    return ctw.score(load(spark, sf_dir, "documents"), _remainder(7) == 2)
+    return ctw.score(load(spark, sf_dir, "documents"), _remainder(7) == 2, depth=ctw.DEPTH)
 
 
 @_query("op1_warc")
