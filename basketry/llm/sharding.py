@@ -1,7 +1,7 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters rows by seeded hashes of their id: first over the shards,
-then over the memory-sized buckets of a shard. Pass two orders each bucket by
+Pass one scatters rows by seeded hashes: by id over the shards, then by all
+columns over the memory-sized buckets of a shard. Pass two orders each bucket by
 its own seeded hash and runs Spark's Fisher-Yates ``shuffle`` over it. Slots
 number the buckets of a shard one after the other.
 
@@ -27,6 +27,11 @@ def highest_shard(key: Column, shards: int, seed: int) -> Column:
     return F.array_max(ballots)["shard"]
 
 
+def part_of(columns: list[Column], parts: int, seed: int) -> Column:
+    """The bucket inside a shard, by all columns, so that the rows of one id spread."""
+    return F.pmod(F.xxhash64(F.lit(seed + 1), *columns), F.lit(parts))
+
+
 def shuffle_into_shards(
     docs: DataFrame,
     shards: int = 40,
@@ -39,9 +44,9 @@ def shuffle_into_shards(
 
     ``size`` is the UTF-8 length of the text (null: none) plus 16.
     ``bucket_bytes`` is the mean size of a bucket, the unit of memory of a task.
-    Rows with a null id share one shard, as the law demands, and spread over its
-    buckets by the hash of their text. Repeated rows stay, each with its own
-    slot. An input column with the name of a result column is replaced by it.
+    Rows with one id, or with a null id, share one shard, as the law demands, and
+    spread over its buckets by the hash of all their columns. Repeated rows stay,
+    each with its own slot; rows equal in every column share a bucket. An input column with the name of a result column is replaced by it.
     An empty table gives no rows.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
@@ -49,10 +54,9 @@ def shuffle_into_shards(
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
     results = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     id_ = F.col(f"`{key}`")
-    within = F.when(id_.isNull(), F.xxhash64(F.lit(seed + 1), F.col(f"`{text}`"))).otherwise(F.xxhash64(F.lit(seed + 1), id_))
     rows = docs.select(
         highest_shard(id_, shards, seed).alias("shard"),
-        F.pmod(within, F.lit(per_shard)).alias("part"),
+        part_of(others(docs, *results), per_shard, seed).alias("part"),
         F.xxhash64(F.lit(seed + 2), id_, F.col(f"`{text}`")).alias("order"),
         F.struct(*others(docs, *results)).alias("row"),
         size.alias("size"),

@@ -117,6 +117,16 @@ def test_shards_are_gapless_and_grow_into_the_new_one(docs, none):
     assert more == {r.doc_id: r.grown_shard for r in rows}
 
 
+def test_rows_of_one_id_spread_over_the_buckets(spark):
+    texts = [(7, f"text {i}") for i in range(400)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    sizes = [r["count"] for r in table.groupBy(sharding.part_of([F.col("doc_id"), F.col("text")], 8, 20)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 100
+    rows = sharding.shuffle_into_shards(table, shards=2, bucket_bytes=500)
+    got = rows.collect()
+    assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(400))
+
+
 def test_later_copy_of_a_passage_goes(docs, none):
     rows = linededup.dedup_lines(docs).collect()
     assert len(rows) == docs.count() and linededup.dedup_lines(none).count() == 0
