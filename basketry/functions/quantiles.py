@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
@@ -31,17 +31,28 @@ class _Interval(NamedTuple):
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
     """Linearly interpolated quantiles of each column over its non-null values.
 
+    The order is minus infinity, finite numbers, infinity, NaN. Next to an infinity
+    the quantile is that infinity, next to NaN it is NaN; without values it is NaN.
     ``df`` is read a few times, so an expensive plan is best written first.
     """
     df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in _STATS.items()]).first()
+    stats = df.agg(*[f.alias(f"{n}_{c}") for c in columns for n, f in _stats(c).items()]).first()
     rows = {c: stats[f"n_{c}"] for c in columns}
     found: dict[str, dict[int, float]] = {c: {} for c in columns}
     todo = []
     for c in columns:
         if rows[c]:
             spots = sorted({f(p * (rows[c] - 1)) for p in probs for f in (math.floor, math.ceil)})
-            todo.append(_Interval(c, stats[f"lo_{c}"], stats[f"hi_{c}"], 0, rows[c], spots))
+            first = stats[f"down_{c}"]
+            last = first + stats[f"finite_{c}"]
+            for spot in spots:
+                if spot < first:
+                    found[c][spot] = -math.inf
+                elif spot >= last:
+                    found[c][spot] = math.inf if spot < last + stats[f"up_{c}"] else math.nan
+            spots = [s for s in spots if first <= s < last]
+            if spots:
+                todo.append(_Interval(c, stats[f"lo_{c}"], stats[f"hi_{c}"], first, last - first, spots))
     while todo:
         for one in todo:
             if one.low == one.high:
@@ -54,11 +65,21 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return {c: [_between(found[c], p * (rows[c] - 1)) if rows[c] else math.nan for p in probs] for c in columns}
 
 
-_STATS = {"n": F.count, "lo": F.min, "hi": F.max}
+def _stats(column: str) -> dict[str, Column]:
+    x = F.col(column)
+    finite = F.when(~F.isnan(x) & (F.abs(x) < math.inf), x)
+    return {
+        "n": F.count(x), "finite": F.count(finite), "lo": F.min(finite), "hi": F.max(finite),
+        "down": F.count_if(x == -math.inf), "up": F.count_if(x == math.inf),
+    }
 
 
 def _between(values: dict[int, float], at: float) -> float:
     low, high = values[math.floor(at)], values[math.ceil(at)]
+    if low == high or math.isinf(low):
+        return low
+    if not math.isfinite(high):
+        return high
     return low + (high - low) * (at - math.floor(at))
 
 
@@ -73,9 +94,14 @@ def _members(df: DataFrame, intervals: list[_Interval]) -> DataFrame:
 
 def _split(df: DataFrame, intervals: list[_Interval]) -> list[_Interval]:
     """Cut each interval into buckets and keep those that hold a wanted position."""
-    bounds = [F.struct(F.lit(o.low).alias("lo"), F.lit(o.high - o.low).alias("w")) for o in intervals]
+    # A width beyond the largest number is halved with its values.
+    halves = [1.0 if math.isfinite(o.high - o.low) else 0.5 for o in intervals]
+    bounds = [
+        F.struct(F.lit(h).alias("h"), F.lit(h * o.low).alias("lo"), F.lit(h * o.high - h * o.low).alias("w"))
+        for h, o in zip(halves, intervals, strict=True)
+    ]
     mine = F.element_at(F.array(*bounds), F.col("k") + 1)
-    bucket = F.least(F.floor((F.col("x") - mine["lo"]) / mine["w"] * F.lit(BUCKETS)), F.lit(BUCKETS - 1))
+    bucket = F.least(F.floor((F.col("x") * mine["h"] - mine["lo"]) / mine["w"] * F.lit(BUCKETS)), F.lit(BUCKETS - 1))
     hist = (
         _members(df, intervals)
         .groupBy("k", bucket.alias("b"))

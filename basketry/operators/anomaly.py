@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict, dataclass
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,10 +13,12 @@ from pyspark.sql.window import Window
 
 from basketry.functions import scalars as X
 from basketry.functions.quantiles import exact_quantiles
+from basketry.operators.model_store import ModelStore
 from basketry.session import materialize, spread
 
-# Features, forest size, sample size, share, seed, least number
+# Model name, features, forest size, sample size, share, seed, least number
 # of sales, quantiles of the reasons, reason texts, severity bound.
+NAME = "anomaly_detector"
 FEATURES = ["total", "num_productos", "ticket_promedio"]
 TREES = 100
 SAMPLE = 256
@@ -182,21 +187,91 @@ def severity(score: Column) -> Column:
     return F.when(score < ERROR_SCORE, F.lit("error")).otherwise(F.lit("warning"))
 
 
-def flag_anomalies(scored: DataFrame, share: float = CONTAMINATION) -> DataFrame:
-    """Mark the sales scored below the quantile of the expected share."""
-    limit = exact_quantiles(scored, ["score"], [share])["score"][0]
-    return scored.withColumn("es_anomalia", F.col("score") < limit)
+@dataclass
+class Training:
+    """What the training saw: bound of an anomaly, share of the sales below it, and means."""
 
+    offset: float
+    share: float
+    samples: int
+    mean_score: float
+    means: list[float]  # of the features
 
-def detect_anomalies(features: DataFrame, trees: int = TREES, seed: int = SEED) -> DataFrame | None:
-    """All sales with score and flag, written once because several reports read them."""
+
+@dataclass
+class Detector:
+    forest: DataFrame
+    training: Training
+
+    def score(self, features: DataFrame) -> DataFrame:
+        return score_sales(features, self.forest, min(SAMPLE, self.training.samples))
+
+    def flag(self, features: DataFrame) -> DataFrame:
+        """Sales, of the training or new ones, with score and flag; the bound is that of the training."""
+        return flag_below(self.score(features), self.training.offset)
+
+
+def flag_below(scored: DataFrame, offset: float) -> DataFrame:
+    return scored.withColumn("es_anomalia", F.col("score") < offset)
+
+
+def train_detector(
+    features: DataFrame, trees: int = TREES, seed: int = SEED, share: float = CONTAMINATION
+) -> tuple[Detector, DataFrame] | None:
+    """Forest and bound, and the scored sales of the training; None below 20 sales."""
     features = materialize(features, "sale-features")
     forest = train_forest(features, trees, seed)
-    if forest is None:
-        return None
-    sample = min(SAMPLE, features.count())
-    scored = materialize(score_sales(features, forest, sample), "scored")
-    return flag_anomalies(scored)
+    return None if forest is None else with_bound(forest, features, share)
+
+
+def with_bound(forest: DataFrame, features: DataFrame, share: float = CONTAMINATION) -> tuple[Detector, DataFrame]:
+    """A detector whose bound is the quantile of the expected share over all given sales; and these sales with scores."""
+    samples = features.count()
+    scored = materialize(score_sales(features, forest, min(SAMPLE, samples)), "scored")
+    offset = exact_quantiles(scored, ["score"], [share])["score"][0]
+    means = scored.agg(F.avg("score"), *[F.avg(c) for c in FEATURES]).first()
+    return Detector(forest, Training(offset, share, samples, means[0], list(means[1:]))), scored
+
+
+def detector(store: ModelStore, features: DataFrame, now: datetime, **options) -> Detector | None:
+    """The stored detector while it is fresh, otherwise one trained on ``features`` and stored."""
+
+    def train():
+        trained = train_detector(features, **options)
+        return trained and _parts(trained[0])
+
+    stored = store.train_or_load(NAME, now, train)
+    return stored and Detector(stored.table("forest"), Training(**stored.info))
+
+
+def store_detector(store: ModelStore, model: Detector, at: datetime) -> None:
+    """Publish a trained detector."""
+    store.save(NAME, at, *_parts(model))
+
+
+def _parts(model: Detector) -> tuple[dict, dict]:
+    return {"forest": model.forest}, asdict(model.training)
+
+
+def detect_anomalies(features: DataFrame, trees: int = TREES, seed: int = SEED) -> DataFrame | None:
+    """All sales with score and flag by a detector trained on them."""
+    trained = train_detector(features, trees, seed)
+    return None if trained is None else flag_below(trained[1], trained[0].training.offset)
+
+
+def drift_report(model: Detector, flagged: DataFrame) -> DataFrame:
+    """One row: share of anomalies and means of scores and features, in the training and in other sales.
+
+    A share far from that of the training says that the sales have changed and the detector should be trained anew.
+    """
+    seen = model.training
+    then = [F.lit(m).alias(f"{c}_entrenamiento") for c, m in zip(FEATURES, seen.means, strict=True)]
+    return flagged.agg(
+        F.count(F.lit(1)).alias("ventas"),
+        X.safe_divide(F.count_if("es_anomalia"), F.count(F.lit(1))).alias("proporcion"),
+        F.avg("score").alias("score_medio"),
+        *[F.avg(c).alias(f"{c}_medio") for c in FEATURES],
+    ).select("*", F.lit(seen.share).alias("proporcion_entrenamiento"), F.lit(seen.mean_score).alias("score_entrenamiento"), *then)
 
 
 def anomaly_list(flagged: DataFrame) -> DataFrame:

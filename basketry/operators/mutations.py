@@ -86,9 +86,17 @@ def latest_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str]) ->
 
 
 def upsert(table: DataFrame, batch: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the batch winning over the table and later over earlier batch rows."""
-    both = table.withColumn("_src", F.lit(0)).unionByName(batch.select(*table.columns).withColumn("_src", F.lit(1)))
-    return latest_per_key(both, key, ["_src", *order]).select(*table.columns)
+    """One row per key, the batch winning over the table and later over earlier batch rows.
+
+    ``table`` has one row per key. ``order`` names columns of the batch; they need not
+    be in the table. Only the batch is reduced. The table loses the rows whose keys the
+    batch has, by a join that broadcasts the batch's keys when they are few, so it
+    is neither sorted nor shuffled then. Null keys count as equal.
+    """
+    last = latest_per_key(batch, key, order).select(*table.columns)
+    taken = last.select(*[F.col(k).alias(f"_k_{k}") for k in key])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]
+    return table.join(taken, same, "left_anti").unionByName(last)
 
 
 def cascade(children: DataFrame, deleted: DataFrame, foreign_key: str) -> DataFrame:

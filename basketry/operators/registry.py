@@ -1,20 +1,20 @@
-"""Model registry, reuse of trained results, prediction and feature caches."""
+"""Model registry, prediction and feature caches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from datetime import datetime, timedelta
+from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import scalars as X
 from basketry.model import MODEL_METADATA
+from basketry.operators import anomaly, pricing, segments
 from basketry.operators.mutations import insert_if_absent, latest_per_key, unexpired, upsert
 
-# The names of the three models, and the reuse time.
-MODELS = ("price_predictor", "customer_segmentation", "anomaly_detector")
-REUSE = timedelta(hours=1)
+FEATURE_KEY = ["entity_type", "entity_id", "version"]
+MODELS = (pricing.NAME, segments.NAME, anomaly.NAME)
 
 
 def register_model(registry: DataFrame, runs: DataFrame) -> DataFrame:
@@ -37,48 +37,10 @@ def model_info(registry: DataFrame, names: Sequence[str] = MODELS) -> DataFrame:
     )
 
 
-def training_run(
-    spark: SparkSession, name: str, at: datetime, accuracy: float | None, samples: int, features: Sequence[str]
-) -> DataFrame:
-    return spark.createDataFrame([(name, at, accuracy, samples, list(features))], MODEL_METADATA)
-
-
-def train_or_reuse(
-    spark: SparkSession, path: str, train: Callable[[], DataFrame], now: datetime, ttl: timedelta = REUSE
-) -> DataFrame:
-    """The stored result when it is younger than ``ttl``, otherwise a new one.
-
-    A result is written below its own time, so a reader never sees half of one.
-    """
-    stamps = _stored_times(spark, path)
-    fresh = [t for t in stamps if t <= now and now - t < ttl]
-    if fresh:
-        return spark.read.parquet(f"{path}/{_stamp(max(fresh))}")
-    target = f"{path}/{_stamp(now)}"
-    train().write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
-
-
-_FORMAT = "trained_at=%Y%m%dT%H%M%S%f"
-
-
-def _stamp(at: datetime) -> str:
-    return at.strftime(_FORMAT)
-
-
-def _stored_times(spark: SparkSession, path: str) -> list[datetime]:
-    """Times of the complete results below ``path``."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    done = jvm.org.apache.hadoop.fs.Path
-    out = []
-    for status in fs.listStatus(root):
-        if fs.exists(done(status.getPath(), "_SUCCESS")):
-            out.append(datetime.strptime(status.getPath().getName(), _FORMAT))
-    return out
+def training_run(spark: SparkSession, at: datetime, runs: Sequence[tuple[str, float | None, int, Sequence[str]]]) -> DataFrame:
+    """Registry rows of trainings (name, accuracy, samples, features) that ended at one time."""
+    rows = [(name, at, accuracy, samples, list(features)) for name, accuracy, samples, features in runs]
+    return spark.createDataFrame(rows, MODEL_METADATA)
 
 
 def input_key(*columns: str) -> Column:
@@ -103,15 +65,19 @@ def add_to_cache(cache: DataFrame, computed: DataFrame, as_of: Column, hours: in
     return insert_if_absent(unexpired(cache, "valid_until", as_of), rows, ["key"])
 
 
-def feature_rows(df: DataFrame, entity_type: str, ident: str, features: Sequence[str], version: str = "1.0") -> DataFrame:
+def feature_rows(
+    df: DataFrame, entity_type: str, ident: str, features: Sequence[str], at: Column, version: str = "1.0"
+) -> DataFrame:
+    """Features of each entity as JSON, with the time they were computed."""
     return df.select(
         F.lit(entity_type).alias("entity_type"),
         F.col(ident).cast("bigint").alias("entity_id"),
         F.lit(version).alias("version"),
         F.to_json(F.struct(*features)).alias("features"),
+        at.cast("timestamp").alias("computed_at"),
     )
 
 
 def store_features(store: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row per entity and version, the new one winning."""
-    return upsert(store, rows, ["entity_type", "entity_id", "version"], ["features"])
+    """One row per entity and version. Rows win over the store; of several rows the one computed last."""
+    return upsert(store, rows, FEATURE_KEY, ["computed_at", "features"])

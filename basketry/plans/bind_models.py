@@ -10,11 +10,12 @@ from pyspark.sql.window import Window
 
 from basketry.model import SOURCES, Retail
 from basketry.operators import anomaly, basket, forecast, matching, pricing, recommend, registry, segments, series
+from basketry.operators.model_store import ModelStore
 from basketry.operators.similar import top_similar
 from basketry.plans.bind_changes import _AS_OF, AS_OF, at
 from basketry.plans.identify import identified_products
 from basketry.plans.registry import query
-from basketry.plans.sync import sync, train_models
+from basketry.plans.sync import sync
 from basketry.session import materialize, scratch_path
 from basketry.sources.snapshots import audit_log
 from basketry.streaming import refresh
@@ -34,7 +35,7 @@ def _(r: Retail) -> DataFrame:
 
 
 # Centred sums and Cramer's rule for three features.
-_FIT = (
+FIT = (
     _CODES
     + """
 , x AS (
@@ -61,7 +62,7 @@ _FIT = (
 
 @query(
     "n1_price_model",
-    _FIT
+    FIT
     + """
     SELECT round(w0, 4) AS intercepto, round(wa, 4) AS w_codigo, round(wb, 4) AS w_stock, round(wc, 4) AS w_len_nombre,
            n AS muestras FROM fit
@@ -73,14 +74,14 @@ def _(r: Retail) -> DataFrame:
     return fit.select(*[F.round(n, 4).alias(n) for n in names], "muestras")
 
 
-@query("n2_price_r2", _FIT + "SELECT round(r2, 6) AS r2 FROM fit")
+@query("n2_price_r2", FIT + "SELECT round(r2, 6) AS r2 FROM fit")
 def _(r: Retail) -> DataFrame:
     return pricing.train_prices(r.snapshot).coefficients().select(F.round("r2", 6).alias("r2"))
 
 
 @query(
     "n3_price_suggestion",
-    _FIT
+    FIT
     + """
     SELECT p.id, round(w0 + wa * coalesce(k.codigo, (SELECT count(*) FROM codigo) // 2) + wb * stock + wc * length(nombre), 2)
            AS precio_sugerido, 0.85::DOUBLE AS confianza
@@ -101,32 +102,9 @@ def _(r: Retail) -> DataFrame:
 # ---- clusters and anomalies -----------------------------------------------
 
 
-def _clustered(r: Retail) -> DataFrame:
-    return segments.cluster_customers(r.metricas)
-
-
 @query("n5_cluster_customers")
 def _(r: Retail) -> DataFrame:
-    return _clustered(r).select("cliente_id", "cluster")
-
-
-@query("n6_named_clusters")
-def _(r: Retail) -> DataFrame:
-    return segments.name_clusters(_clustered(r)).select("cliente_id", "segmento")
-
-
-@query("a15_cluster_means")
-def _(r: Retail) -> DataFrame:
-    return segments.cluster_means(_clustered(r)).select("cluster", "ticket_medio", "clientes")
-
-
-@query("k4_clusters_by_ticket")
-def _(r: Retail) -> DataFrame:
-    return segments.cluster_means(_clustered(r)).select("puesto", "segmento", "ticket_medio")
-
-
-def _flagged(r: Retail) -> DataFrame:
-    return anomaly.detect_anomalies(anomaly.sale_features(r.ventas))
+    return segments.cluster_customers(r.metricas).select("cliente_id", "cluster")
 
 
 @query("n9_isolation_forest")
@@ -135,35 +113,6 @@ def _(r: Retail) -> DataFrame:
     return anomaly.train_forest(features)
 
 
-@query("n10_scored_sales")
-def _(r: Retail) -> DataFrame:
-    return _flagged(r).select("venta_id", "score", "es_anomalia")
-
-
-@query("f5_anomalous_sales")
-def _(r: Retail) -> DataFrame:
-    return _flagged(r).where("es_anomalia").select("venta_id", "total", "num_productos")
-
-
-@query("k3_anomalies_by_score")
-def _(r: Retail) -> DataFrame:
-    return anomaly.anomaly_list(_flagged(r)).select("venta_id", "score_anomalia")
-
-
-@query("a14_anomaly_rate")
-def _(r: Retail) -> DataFrame:
-    return anomaly.anomaly_counts(_flagged(r)).select("porcentaje")
-
-
-@query("n12_anomaly_report")
-def _(r: Retail) -> DataFrame:
-    flagged = _flagged(r)
-    one = F.lit(1).alias("_k")
-    counts = anomaly.anomaly_counts(flagged).select("total_ventas_analizadas", "anomalias_detectadas", one)
-    rows = anomaly.anomaly_list(flagged).select("*", one)
-    return rows.join(F.broadcast(counts), "_k").drop("_k")
-
-
 # ---- forecasts ------------------------------------------------------------
 
 
@@ -440,14 +389,14 @@ def _(r: Retail) -> DataFrame:
     FROM (SELECT producto_id, sum(cantidad) / 7.0::DOUBLE AS base FROM ultimo WHERE atras <= 7 GROUP BY 1) b, range(1, 8) t(p)
     """)
 def _(r: Retail) -> DataFrame:
-    path = scratch_path(r.spark, "reuse")
+    store = ModelStore(r.spark, scratch_path(r.spark, "reuse"))
 
-    def train() -> DataFrame:
-        return series.simple_forecast(r.serie)
+    def train():
+        return {"valores": series.simple_forecast(r.serie)}, {}
 
-    registry.train_or_reuse(r.spark, path, train, NOW)
+    store.train_or_load("forecast", NOW, train)
     # Half an hour later the stored result is read, not computed.
-    return registry.train_or_reuse(r.spark, path, train, NOW + timedelta(minutes=30))
+    return store.train_or_load("forecast", NOW + timedelta(minutes=30), train).table("valores")
 
 
 def _requests(r: Retail) -> DataFrame:
@@ -524,9 +473,9 @@ def _(r: Retail) -> DataFrame:
     """,
 )
 def _(r: Retail) -> DataFrame:
-    old = registry.feature_rows(r.table("customer").withColumnRenamed("c_mktsegment", "segmento"), "cliente", "c_custkey", ["segmento"])
-    new = registry.feature_rows(r.metricas, "cliente", "cliente_id", ["frecuencia", "nombre"])
-    return registry.store_features(old, new)
+    old = registry.feature_rows(r.table("customer").withColumnRenamed("c_mktsegment", "segmento"), "cliente", "c_custkey", ["segmento"], F.lit(NOW))
+    new = registry.feature_rows(r.metricas, "cliente", "cliente_id", ["frecuencia", "nombre"], F.lit(NOW))
+    return registry.store_features(old, new).drop("computed_at")
 
 
 # ---- refresh --------------------------------------------------------------
@@ -562,20 +511,6 @@ def _(r: Retail) -> DataFrame:
     return log.select("tipo", "num_registros", "estado", F.to_date("fecha_sincronizacion").alias("dia"))
 
 
-@query(
-    "n25_trained_models",
-    _FIT
-    + """
-    SELECT 'price_predictor' AS model_name, round(r2, 6) AS accuracy, n AS samples_count FROM fit
-    UNION ALL SELECT 'customer_segmentation', NULL, count(*) FROM metrica
-    UNION ALL SELECT 'anomaly_detector', NULL, count(*) FROM venta
-    """,
-)
-def _(r: Retail) -> DataFrame:
-    runs = train_models(r.spark, _synced(r), NOW)
-    return registry.model_info(runs).select("model_name", F.round("accuracy", 6).alias("accuracy"), "samples_count")
-
-
 _PURCHASES = """
 SELECT user_id AS cliente_id, 'Cliente ' || user_id AS nombre,
        CAST(sum(CAST(round(value, 2) AS DECIMAL(18, 2))) AS DOUBLE) AS total_compras, count(*) AS frecuencia,
@@ -586,7 +521,9 @@ FROM events WHERE event_type = 'purchase' GROUP BY user_id
 
 @query("t1_incremental_refresh", _PURCHASES, views=False)
 def _(r: Retail) -> DataFrame:
+    """Events arrive as several files, each a micro-batch of its own."""
     root = scratch_path(r.spark, "refresh")
-    stream = refresh.purchase_stream(r.spark, r.path, SOURCES["events"])
-    refresh.start_refresh(stream, root).awaitTermination()
+    r.table("events").repartitionByRange(4, "event_id").write.parquet(f"{root}/arrived")
+    stream = refresh.purchase_stream(r.spark, f"{root}/arrived", SOURCES["events"], "*.parquet", files_per_batch=1)
+    refresh.start_refresh(stream, root, buckets=32).awaitTermination()
     return refresh.refreshed_metrics(r.spark, root)

@@ -177,7 +177,7 @@ def _(r: Retail) -> DataFrame:
     return customers.top_customers(r.metricas)
 
 
-_FEATURES = """
+FEATURES = """
 , rasgo AS (
   SELECT id AS venta_id, CAST(total AS DOUBLE) AS total, num_productos,
          CASE WHEN num_productos = 0 THEN 0 ELSE CAST(total AS DOUBLE) / num_productos END AS ticket_promedio
@@ -188,7 +188,7 @@ _FEATURES = """
 
 @query(
     "a16_feature_quantiles",
-    _FEATURES
+    FEATURES
     + """
     SELECT 'total' AS feature, round(quantile_cont(total, 0.05), 7) AS q05, round(quantile_cont(total, 0.95), 7) AS q95 FROM rasgo
     UNION ALL SELECT 'num_productos', round(quantile_cont(CAST(num_productos AS DOUBLE), 0.05), 7),
@@ -204,26 +204,25 @@ def _(r: Retail) -> DataFrame:
 
 @query(
     "n8_sale_features",
-    _FEATURES + "SELECT venta_id, total, num_productos, ticket_promedio FROM rasgo",
+    FEATURES + "SELECT venta_id, total, num_productos, ticket_promedio FROM rasgo",
 )
 def _(r: Retail) -> DataFrame:
     return anomaly.sale_features(r.ventas).drop("fecha")
 
 
-_REASONS = (
-    _FEATURES
-    + """
-    , q AS (
-      SELECT quantile_cont(total, 0.05) AS t05, quantile_cont(total, 0.95) AS t95,
-             quantile_cont(CAST(num_productos AS DOUBLE), 0.95) AS n95, quantile_cont(ticket_promedio, 0.95) AS p95 FROM rasgo
-    )
-    SELECT venta_id, coalesce(nullif(concat_ws(' | ', CASE WHEN total > t95 THEN 'Total muy alto' END,
-      CASE WHEN total < t05 THEN 'Total muy bajo' END, CASE WHEN num_productos > n95 THEN 'Muchos productos' END,
-      CASE WHEN num_productos = 0 THEN 'Sin productos' END,
-      CASE WHEN ticket_promedio > p95 THEN 'Ticket promedio alto' END), ''), 'Patrón inusual') AS razon
-    FROM rasgo, q
-    """
+REASONS = """
+, q AS (
+  SELECT quantile_cont(total, 0.05) AS t05, quantile_cont(total, 0.95) AS t95,
+         quantile_cont(CAST(num_productos AS DOUBLE), 0.95) AS n95, quantile_cont(ticket_promedio, 0.95) AS p95 FROM rasgo
+), motivada AS (
+  SELECT venta_id, coalesce(nullif(concat_ws(' | ', CASE WHEN total > t95 THEN 'Total muy alto' END,
+    CASE WHEN total < t05 THEN 'Total muy bajo' END, CASE WHEN num_productos > n95 THEN 'Muchos productos' END,
+    CASE WHEN num_productos = 0 THEN 'Sin productos' END,
+    CASE WHEN ticket_promedio > p95 THEN 'Ticket promedio alto' END), ''), 'Patrón inusual') AS razon
+  FROM rasgo, q
 )
+"""
+_REASONS = FEATURES + REASONS + "SELECT venta_id, razon FROM motivada"
 
 
 @query("n11_reasons", _REASONS)

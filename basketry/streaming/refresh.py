@@ -1,8 +1,9 @@
 """Incremental refresh of the customer metrics.
 
-Each micro-batch is reduced to one row per customer and merged with the
-snapshot of the batch before it. The result is written below the batch's own
-number, so a replayed batch overwrites itself and no sale counts twice.
+Each micro-batch is reduced to one row per customer and added to the state, a
+keyed table in buckets: a batch reads and writes the buckets of its own customers
+only. The table keeps the number of its newest batch, so a batch that runs again
+after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -13,10 +14,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from basketry.functions import scalars as X
 from basketry.model import cents
+from basketry.sources.buckets import BUCKETS, KeyedTable
 
 STATE = "cliente_id bigint, centavos bigint, frecuencia bigint"
 
 
+def state_table(spark: SparkSession, root: str, buckets: int = BUCKETS) -> KeyedTable:
+    return KeyedTable(spark, f"{root}/state", STATE, ["cliente_id"], buckets)
+
+
 def batch_state(sales: DataFrame) -> DataFrame:
     """Mergeable sums per customer."""
     return (
@@ -45,24 +51,14 @@ def metrics_of(state: DataFrame) -> DataFrame:
     )
 
 
-def _at(root: str, batch: int) -> str:
-    return f"{root}/state/batch_id={batch}"
-
-
-def start_refresh(sales: DataFrame, root: str) -> StreamingQuery:
-    """Process all waiting sales (``cliente_id``, ``total``) and stop.
+def start_refresh(sales: DataFrame, root: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Process all waiting sales (``cliente_id``, ``total``) in micro-batches and stop.
 
     ``sales`` is a streaming frame; ``root`` is a folder all executors share.
-    Batches of one checkpoint are numbered without gaps, so the previous
-    snapshot is the one of the number before.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = batch_state(batch)
-        if batch_id > 0:
-            state = merge_state(spark.read.schema(STATE).parquet(_at(root, batch_id - 1)), state)
-        state.write.mode("overwrite").parquet(_at(root, batch_id))
+        state_table(batch.sparkSession, root, buckets).change(batch_state(batch), merge_state, str(batch_id))
 
     return (
         sales.writeStream.foreachBatch(merge)
@@ -73,16 +69,19 @@ def start_refresh(sales: DataFrame, root: str) -> StreamingQuery:
 
 
 def refreshed_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """Metrics of the newest snapshot. The batch number is a partition column, so only one folder is read."""
-    states = spark.read.schema(STATE + ", batch_id bigint").parquet(f"{root}/state")
-    newest = states.select(F.max("batch_id")).first()[0]
-    return metrics_of(states.where(F.col("batch_id") == newest))
+    """Metrics of the newest state."""
+    return metrics_of(state_table(spark, root).read())
 
 
-def purchase_stream(spark: SparkSession, folder: str, schema: str, file: str = "events.parquet") -> DataFrame:
-    """Purchases of the event file as sales: the user is the customer, the value the total."""
+def purchase_stream(
+    spark: SparkSession, folder: str, schema: str, file: str = "events.parquet", files_per_batch: int = 100
+) -> DataFrame:
+    """Purchases of the event files as sales: the user is the customer, the value the total."""
     events = (
-        spark.readStream.schema(schema).option("pathGlobFilter", file).option("maxFilesPerTrigger", 100).parquet(folder)
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", file)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(folder)
     )
     return purchases(events)
 

@@ -177,28 +177,6 @@ def test_registry_and_reuse(spark):
         "customer_segmentation": (None, 0, []),
         "anomaly_detector": (None, 0, []),
     }
-    calls = []
-
-    def train():
-        calls.append(1)
-        return spark.range(len(calls))
-
-    path = scratch_path(spark, "ttl")
-    sizes = [registry.train_or_reuse(spark, path, train, at + timedelta(minutes=m)).count() for m in (0, 59, 61)]
-    assert sizes == [1, 1, 2]
-
-
-def test_snapshot_refuses_an_empty_extract(spark):
-    root = scratch_path(spark, "snap")
-    at = datetime(2025, 1, 1)
-    assert snapshots.full_refresh(spark, {"a": spark.range(3)}, root, at) == {"a": 3}
-    with pytest.raises(snapshots.EmptyExtract):
-        snapshots.full_refresh(spark, {"a": spark.range(0)}, root, at + timedelta(days=1))
-    assert snapshots.read_snapshot(spark, root, "a").count() == 3
-    snapshots.full_refresh(spark, {"a": spark.range(5)}, root, at + timedelta(days=2))
-    assert snapshots.read_snapshot(spark, root, "a").count() == 5
-    states = sorted(r["estado"] for r in snapshots.audit_log(spark, root).collect())
-    assert states == sorted([snapshots.OK, snapshots.OK, snapshots.FAILED])
 
 
 def test_images(spark, tmp_path):
