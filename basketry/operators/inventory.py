@@ -8,11 +8,12 @@ change that gives stock back. A request whose changes all fit under high is
 accepted; one with a change that does not fit even under low is rejected; the
 rest go to the next round. The earliest undecided request is always decided.
 
-Rounds can be many when requests depend on each other in a long chain. When a
-round decides few requests, the earliest undecided changes, at most
-``PREFIX_ROWS`` of them, are decided in order by one task. Nothing undecided
-comes before them, so this is exact, and it bounds both the rounds and the
-task.
+Most undecided requests do not depend on each other. A product is contested if
+some undecided change on it does not fit under high. Contested products and the
+undecided requests on them form components, and each component is decided in
+order in a group of its own. Of a giant component the earliest changes, at most
+``GROUP_ROWS``, are decided so; nothing undecided comes before them. The rest
+goes to the next round, where fewer products are contested.
 
 The running sums are cut into chunks of the log (see ``ranking``), so a
 product that is in every sale is spread over many tasks.
@@ -26,12 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions.components import components
 from basketry.functions.ranking import range_chunks, running_sums
 from basketry.operators.sales import sale_facts
-from basketry.session import materialize
+from basketry.session import materialize, scratch_path
 
-PREFIX_ROWS = 20_000
-SLOW_ROUND = 0.2  # share of undecided changes; a round deciding less hands over a prefix
+GROUP_ROWS = 20_000  # changes of one component that one task decides in a round
 
 # Operations and reject messages.
 CREATE, UPDATE, DELETE = "create", "update", "delete"
@@ -81,7 +82,7 @@ def apply_log(
     productos: DataFrame,
     ventas: DataFrame,
     detalles: DataFrame,
-    prefix_rows: int = PREFIX_ROWS,
+    group_rows: int = GROUP_ROWS,
 ) -> LogResult:
     """Decide a log of sale requests in the order of ``(fecha, request_id)``.
 
@@ -132,7 +133,7 @@ def apply_log(
         .select(*_CHANGE)
     )
     changes = materialize(changes, "changes")
-    verdicts, rounds = _decide(changes, prefix_rows)
+    verdicts, rounds = _decide(changes, group_rows)
 
     # A request without any stock change (such as a sale without lines) is fine.
     decided = (
@@ -186,27 +187,24 @@ def apply_log(
     )
 
 
-def _decide(changes: DataFrame, prefix_rows: int) -> tuple[DataFrame, int]:
-    """``request_id, accepted`` for every request in ``changes``."""
-    out: DataFrame | None = None
+def _decide(changes: DataFrame, group_rows: int) -> tuple[DataFrame, int]:
+    """``request_id, accepted`` for every request in ``changes``. Each round appends its verdicts to one table."""
+    spark = changes.sparkSession
+    path = scratch_path(spark, "verdicts")
     todo, fresh = changes, None
     left = todo.count()
     rounds = 0
+    changes.select("request_id", F.lit(True).alias("accepted")).limit(0).write.parquet(path)
     while left:
         rounds += 1
         state = materialize(_round(todo, fresh), f"round{rounds}")
-        now = state.where(F.col("accepted").isNull()).count()
-        if now and (now > left * (1 - SLOW_ROUND) or now <= prefix_rows):
-            state = materialize(_with_prefix(state, prefix_rows), f"prefix{rounds}")
-            now = state.where(F.col("accepted").isNull()).count()
-        verdict = state.where(F.col("accepted").isNotNull()).select("request_id", "accepted").distinct()
-        out = verdict if out is None else out.unionByName(verdict)
+        if group_rows and not state.where(F.col("accepted").isNull()).isEmpty():
+            state = materialize(_by_component(state, group_rows), f"components{rounds}")
+        state.where(F.col("accepted").isNotNull()).select("request_id", "accepted").distinct().write.mode("append").parquet(path)
         fresh = state.where(F.col("accepted")).select(*_CHANGE)
         todo = state.where(F.col("accepted").isNull()).select(*_CHANGE)
-        left = now
-    if out is None:
-        out = changes.select("request_id", F.lit(True).alias("accepted"))
-    return out, rounds
+        left = todo.count()
+    return spark.read.schema("request_id bigint, accepted boolean").parquet(path), rounds
 
 
 def _round(todo: DataFrame, fresh: DataFrame | None) -> DataFrame:
@@ -243,46 +241,39 @@ def _round(todo: DataFrame, fresh: DataFrame | None) -> DataFrame:
     tested = materialize(tested, "bounds")
     votes = tested.groupBy("request_id").agg(F.min("_high").alias("_all_high"), F.min("_low").alias("_all_low"))
     accepted = F.when(F.col("_all_high"), F.lit(True)).when(~F.col("_all_low"), F.lit(False))
-    return tested.join(votes, "request_id").select(*_CHANGE, accepted.alias("accepted"))
-
-
-def _with_prefix(state: DataFrame, prefix_rows: int) -> DataFrame:
-    """Decide the earliest undecided requests, at most ``prefix_rows`` changes, in order."""
-    undecided = state.where(F.col("accepted").isNull())
-    # The leading chunks that hold the prefix; one row per chunk.
-    last, seen = None, 0
-    for row in undecided.groupBy("chunk").count().orderBy("chunk").collect():
-        last, seen = row["chunk"], seen + row["count"]
-        if seen >= prefix_rows:
-            break
+    return tested.join(votes, "request_id").select(*_CHANGE, "_high", accepted.alias("accepted"))
+
+
+def _by_component(state: DataFrame, group_rows: int) -> DataFrame:
+    """Decide the undecided requests of each component in order, up to ``group_rows`` changes of it.
+
+    A change that fits under high can be left out: it fits whatever the others do.
+    """
+    open_ = state.where(F.col("accepted").isNull())
+    contested = open_.where(~F.col("_high")).select("producto_id").distinct()
+    contested = materialize(contested, "contested")
     # Changes accepted in this very round are not in ``taken`` yet.
-    pending = state.where(F.col("accepted")).select(*_CHANGE).withColumn("accepted", F.lit(True))
-    ahead = running_sums(
-        undecided.select(*_CHANGE, "accepted").unionByName(pending),
-        ["producto_id"],
-        "chunk",
-        ["fecha", "request_id"],
-        {"_acc": F.when(F.col("accepted"), F.col("delta")).otherwise(F.lit(0).cast("bigint"))},
-    ).where(F.col("accepted").isNull())
-    first = (
-        ahead.select(
-            "request_id", "fecha", "chunk", "producto_id", "delta", "stock", (F.col("taken") + F.col("_acc")).alias("taken")
-        )
-        .where(F.col("chunk") <= last)
-        .orderBy("fecha", "request_id")
-        .limit(prefix_rows)
-    )
-    complete = first.join(
-        undecided.groupBy("request_id").agg(F.count(F.lit(1)).alias("_rows")), "request_id"
-    )
-    solved = complete.groupBy(F.lit(0).alias("_g")).applyInPandas(_in_order, "request_id bigint, _ok boolean")
-    return state.join(solved, "request_id", "left").select(
-        *_CHANGE, F.coalesce("accepted", "_ok").alias("accepted")
-    )
+    pending = state.where(F.col("accepted")).join(contested, "producto_id", "left_semi")
+    mine = materialize(open_.join(contested, "producto_id", "left_semi").select(*_CHANGE), "open-changes")
+    rows = mine.withColumn("_new", F.lit(0)).unionByName(pending.select(*_CHANGE).withColumn("_new", F.lit(1)))
+    accepted = F.when(F.col("_new") == 1, F.col("delta")).otherwise(F.lit(0).cast("bigint"))
+    ahead = running_sums(rows, ["producto_id"], "chunk", ["fecha", "request_id"], {"_acc": accepted}).where("_new = 0")
+    ahead = ahead.withColumn("taken", F.col("taken") + F.col("_acc")).select(*_CHANGE)
+
+    # Two products are linked if a request has both: each to the request's smallest.
+    least = mine.groupBy("request_id").agg(F.min("producto_id").alias("b"), F.count(F.lit(1)).alias("_rows"))
+    least = materialize(least, "requests")
+    roots = components(mine.join(least, "request_id").select(F.col("producto_id").alias("a"), "b"))
+    placed = ahead.join(roots, F.col("producto_id") == F.col("node"), "left").withColumn("_part", F.coalesce("root", "producto_id"))
+    order = ["fecha", "request_id", "producto_id"]
+    first = running_sums(placed.select(*_CHANGE, "_part"), ["_part"], "chunk", order, {"_place": F.lit(1).cast("bigint")})
+    complete = first.where(F.col("_place") < group_rows).join(least.select("request_id", "_rows"), "request_id")
+    solved = complete.groupBy("_part").applyInPandas(_in_order, "request_id bigint, _ok boolean")
+    return state.join(solved, "request_id", "left").select(*_CHANGE, F.coalesce("accepted", "_ok").alias("accepted"))
 
 
 def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """Decide a bounded run of requests one after the other."""
+    """Decide the first requests of a component one after the other."""
     used: dict[int, int] = {}
     out = []
     for (_, request), part in rows.sort_values(["fecha", "request_id"]).groupby(["fecha", "request_id"], sort=True):

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from basketry.functions.components import components
 from basketry.operators import inventory as inv
 
 REQUEST = "request_id bigint, op string, venta_id bigint, cliente_id bigint, fecha timestamp_ntz"
@@ -101,27 +102,49 @@ def random_case(seed, requests, products, tight):
     return heads, lines, customers, catalog, sales, old
 
 
-@pytest.mark.parametrize(("seed", "prefix"), [(1, 0), (2, 15), (3, 20_000)])
-def test_random_logs(spark, seed, prefix):
-    compare(spark, random_case(seed, 200, 12, 60), prefix_rows=prefix)
+@pytest.mark.parametrize(("seed", "size"), [(1, 0), (2, 15), (3, 20_000)])
+def test_random_logs(spark, seed, size):
+    compare(spark, random_case(seed, 200, 12, 60), group_rows=size)
 
 
 def test_hot_product_in_every_sale(spark):
     heads = [(i, inv.CREATE, i, 1, DAY) for i in range(300)]
     lines = [(i, 0, 0, 1 + i % 7, 1.0) for i in range(300)] + [(i, 1, 1 + i % 3, 1, 1.0) for i in range(300)]
-    compare(spark, (heads, lines, [1], [(0, "hot", 350), (1, "a", 40), (2, "b", 900), (3, "c", 20)], [], []), prefix_rows=5)
+    compare(spark, (heads, lines, [1], [(0, "hot", 350), (1, "a", 40), (2, "b", 900), (3, "c", 20)], [], []), group_rows=5)
 
 
-def test_long_chain_ends_through_prefixes(spark):
+def test_long_chain_ends_through_groups(spark):
     """Each sale shares one unit with the next, so bounds alone decide one per round."""
     n = 60
     heads = [(i, inv.CREATE, i, 1, DAY) for i in range(n)]
     lines = [(i, k, i + k, 1, 1.0) for i in range(n) for k in (0, 1)]
     case = (heads, lines, [1], [(p, f"p{p}", 1) for p in range(n + 1)], [], [])
-    result = compare(spark, case, prefix_rows=50)
+    result = compare(spark, case, group_rows=50)
     assert result.rounds < 10
 
 
+def test_components_are_decided_side_by_side(spark):
+    """Many chains that share nothing: rounds do not grow with their number, and each fits in a small group."""
+    chains, n = 40, 12
+    heads = [(c * 100 + i, inv.CREATE, c * 100 + i, 1, DAY + timedelta(minutes=i)) for c in range(chains) for i in range(n)]
+    lines = [(c * 100 + i, k, c * 100 + i + k, 1, 1.0) for c in range(chains) for i in range(n) for k in (0, 1)]
+    products = [(c * 100 + p, f"p{p}", 1) for c in range(chains) for p in range(n + 1)]
+    result = compare(spark, (heads, lines, [1], products, [], []), group_rows=2 * n)
+    assert result.rounds == 1
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert {r["node"]: r["root"] for r in got} == {x: root[x] for x in linked} and len(got) == len(linked)
+
+
 @pytest.mark.parametrize(
     ("stock", "asked", "left", "reason"),
     [(10, 3, 7, None), (7, 15, 7, "Stock insuficiente para producto 'pan'. Disponible: 7, Solicitado: 15"),
