@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from basketry.session import materialize
 
-BLOCK, ANCHORS, LEAF = 4096, 512, 32
+BLOCK, ANCHORS, LEAF = 4096, 512, 128
 BASE = 1.3
 SAFE = 1e-6  # share of the norm by which bounds are widened against rounding
 LONG = (1 << 63) - 1
@@ -79,8 +79,8 @@ def cover_tree(x: np.ndarray) -> dict:
                 near = distances(rest, rest[0]) <= reach
                 near[0] = True
                 group, rest = rest[near], rest[~near]
-                if len(group) == 1:
-                    single.append(group[0])
+                if len(group) <= LEAF:
+                    single.extend(group)  # fewer vectors than a node is worth: the parent checks them itself
                 else:
                     todo.append(group)
         kids.append((first, len(todo)))
@@ -141,12 +141,13 @@ class Search:
             at = slice(*self.points[node])
             if at.stop > at.start:
                 scores = self.products(at, q, exact)
-                fit = np.flatnonzero(allowed[at])
+                fit = np.flatnonzero(allowed[at] & (scores >= min(least)))
+                scores = scores[fit]
                 for w, (_, most) in enumerate(windows):
-                    good = fit[(scores[fit] >= least[w]) & (scores[fit] <= most)]
+                    good = np.flatnonzero((scores >= least[w]) & (scores <= most))
                     if not len(good):
                         continue
-                    places = np.concatenate([found[w][0], good + at.start])
+                    places = np.concatenate([found[w][0], fit[good] + at.start])
                     values = np.concatenate([found[w][1], scores[good]])
                     if len(places) > 8 * k:
                         floor = np.partition(values, len(values) - 2 * k)[len(values) - 2 * k]

@@ -244,7 +244,8 @@ def test_hard_negatives_of_odd_rows(spark, monkeypatch):
     assert covertree.hard_negatives(table.limit(0)).count() == 0
 
 
-def test_cover_tree_covers_and_separates():
+def test_cover_tree_covers_and_separates(monkeypatch):
+    monkeypatch.setattr(covertree, "LEAF", 4)
     rng = np.random.default_rng(5)
     x = np.vstack([rng.integers(-50, 50, (300, 4)), np.repeat(rng.integers(-50, 50, (1, 4)), 100, axis=0)])
     tree = covertree.cover_tree(x)
