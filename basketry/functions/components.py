@@ -37,5 +37,6 @@ def _down(edges: DataFrame) -> DataFrame:
 
 def _stars(links: DataFrame) -> bool:
     """Whether every node that has a smaller neighbour has one only, and that one has none."""
-    chained = links.join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
-    return chained.isEmpty() and links.groupBy("a").count().where("count > 1").isEmpty()
+    chained = links.join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a")
+    forked = links.groupBy("a").count().where("count > 1").select("a")
+    return chained.union(forked).isEmpty()

@@ -244,6 +244,73 @@ def _create_requests(r: Retail) -> tuple[DataFrame, DataFrame]:
     return heads, lines
 
 
+# One request after the other: a fold over the requests in order, with the stock of all products as its state.
+# ``linea_pedido`` has request, time, product, asked quantity and quantity given back; ``f.r`` gets each
+# request's verdict: its first line that does not fit, if any, and what was free then.
+_FOLD = """
+, articulo AS (
+  SELECT id, nombre, stock, row_number() OVER (ORDER BY id) AS i FROM producto
+), pedido AS (
+  SELECT rid, fecha, list(i ORDER BY i) AS p, list(q ORDER BY i) AS q, list(b ORDER BY i) AS b
+  FROM linea_pedido JOIN articulo ON id = producto_id GROUP BY rid, fecha
+), pliegue AS (
+  SELECT list_reduce(
+    (SELECT list(struct_pack(t := []::BIGINT[], r := []::STRUCT(rid BIGINT, i BIGINT, libre BIGINT, q BIGINT)[],
+                             rid := rid::BIGINT, p := p::BIGINT[], q := q::BIGINT[], b := b::BIGINT[]) ORDER BY fecha, rid) FROM pedido),
+    lambda a, x: CASE
+      WHEN list_bool_and(list_transform(x.p, lambda i, k: x.q[k] = 0 OR a.t[i] + x.b[k] >= x.q[k]))
+      THEN struct_pack(
+        t := list_transform(a.t, lambda s, i: s + coalesce(x.b[list_position(x.p, i)] - x.q[list_position(x.p, i)], 0)),
+        r := list_append(a.r, struct_pack(rid := x.rid, i := NULL::BIGINT, libre := NULL::BIGINT, q := NULL::BIGINT)),
+        rid := a.rid, p := a.p, q := a.q, b := a.b)
+      ELSE struct_pack(
+        t := a.t,
+        r := list_append(a.r, list_filter(
+          list_transform(x.p, lambda i, k: struct_pack(rid := x.rid, i := i, libre := a.t[i] + x.b[k], q := x.q[k])),
+          lambda l: l.q > 0 AND l.libre < l.q)[1]),
+        rid := a.rid, p := a.p, q := a.q, b := a.b)
+      END,
+    struct_pack(t := (SELECT list(stock ORDER BY i)::BIGINT[] FROM articulo), r := []::STRUCT(rid BIGINT, i BIGINT, libre BIGINT, q BIGINT)[],
+                rid := 0::BIGINT, p := []::BIGINT[], q := []::BIGINT[], b := []::BIGINT[])) AS f
+), veredicto AS (
+  SELECT v.rid, v.i, v.libre, v.q FROM (SELECT unnest(f.r) AS v FROM pliegue) t
+)
+"""
+_VERDICTS = f"""
+SELECT cabecera.id AS request_id, cliente_conocido AND v.i IS NULL AS accepted,
+       CASE WHEN NOT cliente_conocido THEN '{inventory.NO_CUSTOMER}'
+            WHEN v.i IS NOT NULL THEN format('Stock insuficiente para producto ''{{}}''. Disponible: {{}}, Solicitado: {{}}', nombre, libre, q)
+       END AS motivo
+FROM cabecera LEFT JOIN veredicto v ON v.rid = cabecera.id LEFT JOIN articulo a ON a.i = v.i
+"""
+_CREATED = (
+    """
+, cabecera AS (
+  SELECT id, fecha, cliente_id IN (SELECT id FROM cliente) AS cliente_conocido FROM venta
+), linea_pedido AS (
+  SELECT venta_id AS rid, fecha, producto_id, sum(cantidad) AS q, 0 AS b FROM detalle JOIN cabecera ON id = venta_id
+  WHERE cliente_conocido GROUP BY ALL
+)
+"""
+    + _FOLD
+)
+_UPDATED = (
+    """
+, cabecera AS (
+  SELECT id, fecha, cliente_id IN (SELECT id FROM cliente) AS cliente_conocido FROM venta
+  WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+), movida AS (
+  SELECT venta_id AS rid, producto_id, 0 AS q, cantidad AS b FROM detalle
+  UNION ALL
+  SELECT l_orderkey, l_partkey, CAST(sum(l_quantity + 25) AS INTEGER), 0 FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL
+), linea_pedido AS (
+  SELECT rid, fecha, producto_id, sum(q) AS q, sum(b) AS b FROM movida JOIN cabecera ON id = rid WHERE cliente_conocido GROUP BY ALL
+)
+"""
+    + _FOLD
+)
+
+
 def _created(r: Retail) -> inventory.LogResult:
     heads, lines = _create_requests(r)
     return inventory.apply_log(
@@ -256,12 +323,12 @@ def _created(r: Retail) -> inventory.LogResult:
     )
 
 
-@query("m11_create_sales")
+@query("m11_create_sales", _CREATED + "SELECT a.id, a.nombre, f.t[a.i] AS stock FROM articulo a, pliegue")
 def _(r: Retail) -> DataFrame:
     return _created(r).productos.select("id", "nombre", "stock")
 
 
-@query("m12_reject_reasons")
+@query("m12_reject_reasons", _CREATED + _VERDICTS)
 def _(r: Retail) -> DataFrame:
     return _created(r).decisions.select("request_id", "accepted", "motivo")
 
@@ -289,7 +356,7 @@ def _update_requests(r: Retail) -> tuple[DataFrame, DataFrame]:
     return heads, lines
 
 
-@query("m13_update_sales")
+@query("m13_update_sales", _UPDATED + _VERDICTS)
 def _(r: Retail) -> DataFrame:
     heads, lines = _update_requests(r)
     result = inventory.apply_log(
