@@ -4,7 +4,9 @@ Vectors are grouped into cells around pivot vectors, and cells are cut into
 blocks of bounded size. A block is first searched within itself; that gives
 each vector a score its final neighbours must reach. By the triangle
 inequality on angles, a vector then visits only the cells that can still hold
-such a neighbour. A task multiplies one block of vectors with one block of
+such a neighbour: for several pivots a cell knows the least and greatest angle
+of its members. Visits are rows of ids; the vectors are joined to them when
+block meets block. A task multiplies one block of vectors with one block of
 candidates and keeps N rows per vector.
 """
 
@@ -21,7 +23,8 @@ from pyspark.sql.window import Window
 from basketry.session import materialize, spread
 
 BLOCK_ROWS = 16_384
-MAX_PIVOTS = 1_024
+MIN_PIVOTS, MAX_PIVOTS = 16, 1_024
+REFERENCES = 16  # pivots to which every cell knows the range of its members' angles
 DIGITS = 9  # scores that agree to this many digits are ties, broken by id
 _SLACK = 1e-7
 _HITS = "id bigint, other bigint, score double"
@@ -57,41 +60,42 @@ def _keep_best(hits: DataFrame, n: int) -> DataFrame:
     return hits.withColumn("puesto", F.row_number().over(order)).where(F.col("puesto") <= n)
 
 
+def _angles(values: pd.Series, centre: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_unit(values) @ centre.T, -1.0, 1.0))
+
+
 def top_similar(vectors: DataFrame, n: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id, other, score, puesto`` for the N most similar other vectors of each id.
 
     ``vectors`` has a unique ``id`` and an ``embedding`` array.
     """
-    vectors = vectors.select("id", "embedding")
-    total = vectors.count()
-    if total <= block_rows:
-        within = vectors.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda pdf: _best(pdf, pdf, n), _HITS)
-        return _keep_best(within, n)
-
-    pivots = min(MAX_PIVOTS, math.ceil(total / block_rows) * 4)
+    vectors = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    pivots = min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(vectors.count() / block_rows) * 4))
     # At most MAX_PIVOTS vectors reach the driver.
     chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
+    if chosen.empty:
+        return _keep_best(vectors.select("id", F.col("id").alias("other"), F.lit(0.0).alias("score")), n)
     centre = _unit(chosen["embedding"])
+    references = min(REFERENCES, len(centre))
 
     def nearest(batches):
         for pdf in batches:
-            angle = np.arccos(np.clip(_unit(pdf["embedding"]) @ centre.T, -1.0, 1.0))
-            cell = angle.argmin(axis=1)
-            yield pdf.assign(cell=cell.astype("int32"), angle=angle[np.arange(len(pdf)), cell])
+            angle = _angles(pdf["embedding"], centre)
+            yield pdf.assign(cell=angle.argmin(axis=1).astype("int32"), angle=angle.min(axis=1), seen=list(angle[:, :references]))
 
-    placed = materialize(
-        vectors.mapInPandas(nearest, "id bigint, embedding array<double>, cell int, angle double"), "cells"
-    )
+    placed = vectors.mapInPandas(nearest, "id bigint, embedding array<double>, cell int, angle double, seen array<double>")
+    placed = materialize(placed, "cells")
+    ranges = [f(F.col("seen")[j]).alias(f"{name}{j}") for j in range(references) for name, f in (("lo", F.min), ("hi", F.max))]
     # One row per cell, so at most MAX_PIVOTS rows.
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("angle").alias("radius")).toPandas()
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("angle").alias("radius"), *ranges).toPandas()
     blocks = {int(c): math.ceil(r / block_rows) for c, r in zip(cells["cell"], cells["rows"], strict=True)}
     sizes = placed.sparkSession.createDataFrame(list(blocks.items()), "cell int, blocks int")
-    placed = placed.join(F.broadcast(sizes), "cell").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = placed.join(F.broadcast(sizes), "cell").select(
+        "id", "embedding", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
     )
 
-    within = spread(placed, "cell", "block").groupBy("cell", "block").applyInPandas(lambda pdf: _best(pdf, pdf, n), _HITS)
-    within = materialize(within, "within")
+    own = ["cell", "block"]
+    within = materialize(spread(placed, *own).groupBy(*own).applyInPandas(lambda pdf: _best(pdf, pdf, n), _HITS), "within")
     # The score to beat: the N-th best inside the own block, if there are N.
     floor = within.groupBy("id").agg(
         F.when(F.count(F.lit(1)) == n, F.min("score")).otherwise(F.lit(-1.0)).alias("floor")
@@ -99,34 +103,36 @@ def top_similar(vectors: DataFrame, n: int = 4, block_rows: int = BLOCK_ROWS) ->
 
     ids = cells["cell"].to_numpy()
     radius, centres = cells["radius"].to_numpy(), centre[ids]
+    low = cells[[f"lo{j}" for j in range(references)]].to_numpy()
+    high = cells[[f"hi{j}" for j in range(references)]].to_numpy()
 
     def visits(batches):
         for pdf in batches:
-            angle = np.arccos(np.clip(_unit(pdf["embedding"]) @ centres.T, -1.0, 1.0))
-            reach = np.cos(np.maximum(0.0, angle - radius[None, :])) + _SLACK
-            row, col = np.nonzero(reach >= pdf["floor"].to_numpy()[:, None])
-            out = pdf[["id", "embedding", "cell", "block"]].iloc[row].reset_index(drop=True)
-            yield out.assign(visit=ids[col].astype("int32"))
-
-    queries = (
-        placed.join(floor, "id", "left")
-        .select("id", "embedding", "cell", "block", F.coalesce("floor", F.lit(-1.0)).alias("floor"))
-        .mapInPandas(visits, "id bigint, embedding array<double>, cell int, block int, visit int")
-    )
-    queries = materialize(queries, "visits")
+            for start in range(0, len(pdf), 1024):
+                part = pdf.iloc[start : start + 1024]
+                seen = _angles(part["embedding"], centre[:references])
+                # The least angle to a member of each cell, by its centre and by every reference.
+                apart = np.maximum(0.0, _angles(part["embedding"], centres) - radius[None, :])
+                for j in range(references):
+                    apart = np.maximum(apart, np.maximum(low[None, :, j] - seen[:, j, None], seen[:, j, None] - high[None, :, j]))
+                row, col = np.nonzero(np.cos(apart) + _SLACK >= part["floor"].to_numpy()[:, None])
+                out = part[["id", "cell", "block"]].iloc[row].reset_index(drop=True)
+                yield out.assign(visit=ids[col].astype("int32"))
+
+    seekers = placed.join(floor, "id", "left").select("id", "embedding", "cell", "block", F.coalesce("floor", F.lit(-1.0)).alias("floor"))
+    queries = materialize(seekers.mapInPandas(visits, "id bigint, cell int, block int, visit int"), "visits")
     # Visitors of a cell come in slices, and its blocks are copied once per
     # slice: a cell that few vectors visit is hardly copied. One row per cell.
     counts = queries.groupBy("visit").count().collect()
     plan = [(r["visit"], blocks[r["visit"]], math.ceil(r["count"] / block_rows)) for r in counts]
-    if not plan:
-        return _keep_best(within, n)
     plan = F.broadcast(placed.sparkSession.createDataFrame(plan, "visit int, vblocks int, slices int"))
-    queries = (
+    met = (
         queries.join(plan, "visit")
         .withColumn("vblock", F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)))
         .where((F.col("cell") != F.col("visit")) | (F.col("block") != F.col("vblock")))
         .withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).cast("int"))
-        .select("visit", "vblock", "slice", "id", "embedding")
+        .select("visit", "vblock", "slice", "id")
+        .join(placed.select("id", F.col("embedding").alias("vector")), "id")
     )
     candidates = (
         placed.select(F.col("cell").alias("visit"), F.col("block").alias("vblock"), "id", "embedding")
@@ -136,9 +142,9 @@ def top_similar(vectors: DataFrame, n: int = 4, block_rows: int = BLOCK_ROWS) ->
     )
     key = ["visit", "vblock", "slice"]
     across = (
-        spread(queries, *key)
+        spread(met, *key)
         .groupBy(*key)
         .cogroup(spread(candidates, *key).groupBy(*key))
-        .applyInPandas(lambda left, right: _best(left, right, n), _HITS)
+        .applyInPandas(lambda left, right: _best(left.rename(columns={"vector": "embedding"}), right, n), _HITS)
     )
     return _keep_best(within.unionByName(across), n)
