@@ -43,27 +43,29 @@ def running_sums(
     ).drop(*[f"__v_{n}" for n in names], *[f"__o_{n}" for n in names])
 
 
-def number_rows(df: DataFrame, order: Sequence[str], chunk: Column, out: str, start: int = 1) -> DataFrame:
-    """Global row numbers. Without a key the outer window sees one row per chunk."""
-    chunked = df.withColumn("__chunk", chunk)
+def number_rows(df: DataFrame, order: Sequence[str], out: str, start: int = 1) -> DataFrame:
+    """Global row numbers in ``order``, which is unique.
+
+    Chunks are ranges of equal size, whatever the values: names with one common
+    beginning or sparse positions spread like any others. Without a key the outer
+    window sees one row per chunk.
+    """
+    chunked = range_chunks(df, order, "numbered", "__chunk")
     numbered = running_sums(chunked, [], "__chunk", order, {out: F.lit(1).cast("bigint")})
     return numbered.withColumn(out, F.col(out) + F.lit(start)).drop("__chunk")
 
 
 def dense_position(distinct: DataFrame, column: str, out: str, start: int = 1) -> DataFrame:
-    """Alphabetical position of each row of a frame of distinct names.
-
-    Names are chunked by their first two characters, so the outer window sees
-    one row per prefix.
-    """
-    return number_rows(distinct, [column], F.substring(column, 1, 2), out, start)
+    """Alphabetical position of each row of a frame of distinct names."""
+    return number_rows(distinct, [column], out, start)
 
 
 def range_chunks(df: DataFrame, order: Sequence[str], name: str, out: str = "chunk") -> DataFrame:
     """Cut a frame into evenly filled chunks that follow ``order``.
 
-    The range partition number becomes a column. The frame is written first,
-    so that the bounds, which Spark samples, cannot change between uses.
+    The range partition number becomes a column; there are as many as the session
+    has shuffle partitions. The frame is written, so that the bounds, which Spark
+    samples, cannot change between uses.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = df.repartitionByRange(parts, *order).withColumn(out, F.spark_partition_id())

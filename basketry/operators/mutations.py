@@ -13,16 +13,13 @@ from pyspark.sql import functions as F
 
 from basketry.functions.ranking import number_rows
 
-_CHUNK = 1 << 20
-
 
 def insert_with_ids(table: DataFrame, batch: DataFrame, position: str, key: str = "id") -> DataFrame:
     """Append ``batch``, numbered after the largest id in the order of ``position``.
 
     ``position`` is a unique whole number; it is dropped.
     """
-    chunk = F.floor(F.col(position) / _CHUNK)
-    numbered = number_rows(batch, [position], chunk, "_n")
+    numbered = number_rows(batch, [position], "_n")
     top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"), F.lit(1).alias("_k"))
     # One row of ids; the constant key makes it an equi-join with a broadcast single row.
     rows = numbered.withColumn("_k", F.lit(1)).join(F.broadcast(top), "_k")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,10 +11,12 @@ from pyspark.sql.window import Window
 
 from basketry.functions import scalars as X
 from basketry.operators.basket import mirrored
+from basketry.operators.model_store import ModelStore
 from basketry.operators.similar import top_similar
 from basketry.session import materialize
 
-# Vector length, rounds of training, list length, fallback scores and reasons.
+# Model name, vector length, rounds of training, list length, fallback scores and reasons.
+NAME = "product_vectors"
 EMBEDDING_DIM = 32
 ITERATIONS = 30
 TOP_N = 4
@@ -30,7 +34,8 @@ def product_vectors(pairs: DataFrame, sold: DataFrame, iterations: int = ITERATI
 
     ``pairs`` are unordered co-purchase pairs (``a``, ``b``); the binary matrix
     stays sparse and is factorised by distributed ALS. A sold product without
-    a partner has an empty row in that matrix and gets a zero vector.
+    a partner has an empty row in that matrix and gets a zero vector. With
+    fewer than two sold products nothing can be similar, and there are no vectors.
     """
     both = mirrored(pairs)
     if pairs.limit(1).count() == 0:
@@ -60,7 +65,8 @@ def product_vectors(pairs: DataFrame, sold: DataFrame, iterations: int = ITERATI
     zero = F.array(*[F.lit(0.0).cast("float")] * EMBEDDING_DIM)
     ids = sold.select(F.col("producto_id").alias("id")).distinct()
     if factors is None:
-        return ids.withColumn("embedding", zero)
+        two = ids.limit(2).count() == 2
+        return ids.where(F.lit(two)).withColumn("embedding", zero)
     return ids.join(factors, "id", "left").select("id", F.coalesce("embedding", zero).alias("embedding"))
 
 
@@ -131,3 +137,9 @@ def peers(picked: DataFrame, snapshot: DataFrame) -> DataFrame:
 def train_vectors(pairs: DataFrame, detalles: DataFrame, **options) -> DataFrame:
     """Vectors written to the shared folder, ready for several consumers."""
     return materialize(product_vectors(pairs, detalles, **options), "vectors")
+
+
+def stored_vectors(store: ModelStore, pairs: DataFrame, detalles: DataFrame, now: datetime, **options) -> DataFrame:
+    """The stored vectors while they are fresh, otherwise newly trained and stored ones."""
+    stored = store.train_or_load(NAME, now, lambda: ({"vectors": product_vectors(pairs, detalles, **options)}, {}))
+    return stored.table("vectors")

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basketry.functions import scalars as X
+from basketry.functions.ranking import range_chunks, running_sums
 from basketry.model import cents, sum_money
+from basketry.session import materialize
 
-# Lines per document part; a larger sale is spread over several parts.
+# Lines per document part, and the order in which a sale's lines fill its parts.
 DOCUMENT_LINES = 5_000
+LINE_ORDER = ["linea", "producto_id", "cantidad", "precio_unitario"]
 
 
 def with_subtotal(detalles: DataFrame) -> DataFrame:
@@ -76,20 +79,26 @@ def sale_documents(
 ) -> DataFrame:
     """Nested sale documents: customer, and lines with their product and category.
 
-    Sales are one document each (``parte`` 0). A sale above ``lines_per_part``
-    lines is cut into parts by a hash of its lines, so no array and no task
-    ever holds an unbounded sale; the parts together are the whole sale. A line
-    of an unknown product stays, with the id of the product only.
+    A sale is ``partes`` documents, numbered by ``parte`` from 0; all have its header. The
+    lines of a sale, in the order of line, product, quantity and price, fill one part
+    after the other, ``lines_per_part`` each; a sale without lines is one part.
+    So no array and no task ever holds an unbounded sale. A line of an unknown
+    product stays, with the id of the product only.
     """
     lines = with_subtotal(detalles)
     large = (
         detalles.groupBy("venta_id")
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > lines_per_part)
-        .select("venta_id", F.ceil(F.col("_n") / lines_per_part * 2).cast("int").alias("_parts"))
+        .select("venta_id", F.ceil(F.col("_n") / lines_per_part).cast("int").alias("partes"))
     )
-    spread = F.pmod(F.xxhash64("producto_id", "linea", "cantidad", "precio_unitario"), F.col("_parts"))
-    lines = lines.join(large, "venta_id", "left").withColumn("parte", F.coalesce(spread, F.lit(0)).cast("int"))
+    large = materialize(large, "large-sales")
+    # Positions are needed in large sales only; two levels of numbering split these.
+    cut = range_chunks(lines.join(large.select("venta_id"), "venta_id", "left_semi"), ["venta_id", *LINE_ORDER], "large-lines")
+    placed = running_sums(cut, ["venta_id"], "chunk", LINE_ORDER, {"_place": F.lit(1).cast("bigint")})
+    placed = placed.withColumn("parte", F.floor(F.col("_place") / lines_per_part).cast("int")).select(*lines.columns, "parte")
+    rest = lines.join(large.select("venta_id"), "venta_id", "left_anti").withColumn("parte", F.lit(0))
+    lines = rest.select(*placed.columns).unionByName(placed)
     catalog = productos.select(
         F.col("id").alias("producto_id"), F.col("nombre").alias("producto"), F.col("categoria")
     )
@@ -118,15 +127,16 @@ def sale_documents(
     heads = (
         ventas.join(people, "cliente_id", "left")
         .join(large.withColumnRenamed("venta_id", "id"), "id", "left")
-        .withColumn("parte", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0)))))
+        .withColumn("partes", F.coalesce("partes", F.lit(1)))
+        .withColumn("parte", F.explode(F.sequence(F.lit(0), F.col("partes") - 1)))
     )
     nested = nested.withColumnRenamed("venta_id", "id")
     return (
         heads.join(nested, ["id", "parte"], "left")
-        .where(F.col("_parts").isNull() | F.col("detalles").isNotNull())
         .select(
             "id",
             "parte",
+            "partes",
             "fecha",
             "cliente",
             F.coalesce("detalles", F.array().cast(nested.schema["detalles"].dataType)).alias("detalles"),

@@ -14,10 +14,11 @@ from pyspark.sql.window import Window
 from basketry.functions import scalars as X
 
 # Input and output length of a training window, horizon,
-# divisor of the simple forecast, confidence bounds, labels.
+# divisor and variation of the simple forecast, confidence bounds, labels.
 SEQUENCE_LENGTH = 7
 PREDICTION_DAYS = 7
 MIN_WINDOWS = 5
+JITTER = 0.15
 MIN_CONFIDENCE, MAX_CONFIDENCE = 0.5, 0.95
 UP, DOWN, FLAT = "creciente", "decreciente", "estable"
 SIMPLE, LSTM = "Simulado", "LSTM"
@@ -109,7 +110,11 @@ def trend(first: Column, last: Column) -> Column:
 
 
 def forecast_summary(forecast: DataFrame) -> DataFrame:
-    """Mean, trend and confidence of each product's seven forecast values."""
+    """Mean, trend and confidence of each product's seven forecast values.
+
+    The simple forecast (``metodo``) has the least confidence; that of the other
+    falls with the variance of its values.
+    """
     return (
         forecast.groupBy("producto_id")
         .agg(
@@ -117,13 +122,14 @@ def forecast_summary(forecast: DataFrame) -> DataFrame:
             F.var_pop("valor").alias("varianza"),
             F.min_by("valor", "paso").alias("primero"),
             F.max_by("valor", "paso").alias("ultimo"),
+            F.first("metodo").alias("_metodo"),
         )
         .select(
             "producto_id",
             X.round_half_up(F.col("promedio"), 1).alias("promedio_diario"),
             F.col("varianza"),
             trend(F.col("primero"), F.col("ultimo")).alias("tendencia"),
-            F.when(F.col("promedio") == 0, F.lit(MIN_CONFIDENCE))
+            F.when((F.col("_metodo") == SIMPLE) | (F.col("promedio") == 0), F.lit(MIN_CONFIDENCE))
             .otherwise(
                 X.clamp(1 - F.col("varianza") / (F.col("promedio") * F.col("promedio")), MIN_CONFIDENCE, MAX_CONFIDENCE)
             )

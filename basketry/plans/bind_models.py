@@ -230,6 +230,23 @@ def _product_vectors(r: Retail) -> DataFrame:
     return recommend.train_vectors(pairs, r.detalles)
 
 
+@query(
+    "n19_stored_vectors",
+    "SELECT DISTINCT producto_id AS id, 32 AS largo, TRUE AS positivo, TRUE AS guardado FROM detalle",
+)
+def _(r: Retail) -> DataFrame:
+    """Vectors of all sold products, trained once and read from the store half an hour later."""
+    store = ModelStore(r.spark, scratch_path(r.spark, "models"))
+    pairs = materialize(basket.pair_counts(r.detalles), "pairs")
+    first = recommend.stored_vectors(store, pairs, r.detalles, NOW)
+    again = recommend.stored_vectors(store, pairs.limit(0), r.detalles.limit(0), NOW + timedelta(minutes=30))
+    both = again.join(first.select("id", F.col("embedding").alias("_first")), "id")
+    return both.select(
+        "id", F.size("embedding").alias("largo"), F.forall("embedding", lambda x: x >= 0).alias("positivo"),
+        (F.col("embedding") == F.col("_first")).alias("guardado"),
+    )
+
+
 @query("n19_product_vectors")
 def _(r: Retail) -> DataFrame:
     return _product_vectors(r)
@@ -326,7 +343,68 @@ def _(r: Retail) -> DataFrame:
     return matching.identify(_stored_predictions(r), _keywords(r), r.snapshot).drop("mensaje")
 
 
-@query("n24_identified_products")
+_METHODS = """
+, metodo AS (
+  SELECT producto_id, CASE WHEN count(*) >= 18 THEN 'LSTM' ELSE 'Simulado' END AS metodo FROM serie GROUP BY producto_id
+)
+"""
+
+
+@query(
+    "n15_forecast_bounds",
+    _METHODS
+    + """
+    SELECT producto_id, metodo, 7::BIGINT AS dias, TRUE AS dentro, CASE metodo WHEN 'Simulado' THEN 0.5::DOUBLE END AS confianza
+    FROM metodo
+    """,
+)
+def _(r: Retail) -> DataFrame:
+    """Method and days of each forecast; simple ones vary by at most 15 % around the mean of the last seven points."""
+    series_ = _series(r)
+    values = materialize(forecast.forecast(series_, epochs=2), "forecast")
+    base = series.last_points(series_).groupBy("producto_id").agg((F.sum("cantidad") / F.lit(7)).alias("base"))
+    low, high = (F.greatest(F.lit(1), F.floor(F.col("base") * share)) for share in (0.85, 1.15))
+    inside = (F.col("metodo") == series.LSTM) | F.col("valor").between(low, high)
+    checked = values.join(base, "producto_id").groupBy("producto_id").agg(
+        F.first("metodo").alias("metodo"), F.count(F.lit(1)).alias("dias"), F.bool_and(inside).alias("dentro")
+    )
+    summary = series.forecast_summary(values).select("producto_id", F.col("confianza").alias("_c"))
+    return checked.join(summary, "producto_id").select(
+        "producto_id", "metodo", "dias", "dentro", F.when(F.col("metodo") == series.SIMPLE, F.col("_c")).alias("confianza")
+    )
+
+
+# A sold product has a vector, and so as many related products as there are others, up to four;
+# a product never sold has the first of its category.
+_IDENTIFIED = (
+    _PRED
+    + """
+, metodo AS (
+  SELECT producto_id, CASE WHEN count(*) >= 18 THEN 'LSTM' ELSE 'Simulado' END AS metodo FROM serie GROUP BY producto_id
+), vendido AS (
+  SELECT DISTINCT producto_id FROM detalle
+), cuenta AS (
+  SELECT s.id AS producto_id, CAST(least(4, CASE WHEN v.producto_id IS NOT NULL AND (SELECT count(*) FROM vendido) > 1
+           THEN (SELECT count(*) FROM vendido) - 1 ELSE count(*) OVER (PARTITION BY s.categoria) - 1 END) AS INTEGER) AS relacionados
+  FROM snapshot s LEFT JOIN vendido v ON v.producto_id = s.id
+), imagen AS (
+  SELECT image_id, CAST(least(5, count(*)) AS INTEGER) AS clases FROM prediccion GROUP BY image_id
+)
+"""
+)
+
+
+@query(
+    "n24_identified_products",
+    _IDENTIFIED
+    + f"""
+    SELECT image_id, f.producto_id IS NOT NULL AS success, f.producto_id, metodo, coalesce(relacionados, 0) AS relacionados, clases,
+           CASE WHEN f.producto_id IS NULL THEN '{matching.NOT_FOUND}'
+                ELSE format('{matching.FOUND.replace("%%", "%").replace("%s", "{}").replace("%.1f", "{:.1f}").replace("%.2f", "{:.2f}")}', s.nombre, round(f.probability * 100, 1)) END AS mensaje
+    FROM imagen LEFT JOIN primero f USING (image_id) LEFT JOIN snapshot s ON s.id = f.producto_id
+    LEFT JOIN metodo m ON m.producto_id = f.producto_id LEFT JOIN cuenta c ON c.producto_id = f.producto_id
+    """,
+)
 def _(r: Retail) -> DataFrame:
     values = materialize(forecast.forecast(_series(r)), "forecast")
     related = materialize(recommend.recommendations(_product_vectors(r), r.snapshot), "related")

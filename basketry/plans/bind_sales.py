@@ -430,12 +430,31 @@ def _(r: Retail) -> DataFrame:
     SELECT producto_id, floor(avg(valor) * 10 + 0.5) / 10 AS promedio_diario,
       CASE WHEN arg_max(valor, paso) > arg_min(valor, paso) THEN 'creciente'
            WHEN arg_max(valor, paso) < arg_min(valor, paso) THEN 'decreciente' ELSE 'estable' END AS tendencia,
-      greatest(0.5, least(0.95, 1 - var_pop(valor) / (avg(valor) * avg(valor)))) AS confianza
+      0.5::DOUBLE AS confianza
     FROM simple GROUP BY producto_id
     """,
 )
 def _(r: Retail) -> DataFrame:
-    return series.forecast_summary(series.simple_forecast(r.serie)).drop("varianza")
+    simple = series.simple_forecast(r.serie).withColumn("metodo", F.lit(series.SIMPLE))
+    return series.forecast_summary(simple).drop("varianza")
+
+
+@query(
+    "n17_summary_of_varying_values",
+    _LAST
+    + """
+    SELECT producto_id, floor(avg(cantidad) * 10 + 0.5) / 10 AS promedio_diario,
+      CASE WHEN arg_max(cantidad, seq) > arg_min(cantidad, seq) THEN 'creciente'
+           WHEN arg_max(cantidad, seq) < arg_min(cantidad, seq) THEN 'decreciente' ELSE 'estable' END AS tendencia,
+      round(greatest(0.5, least(0.95, 1 - var_pop(cantidad) / (avg(cantidad) * avg(cantidad)))), 9) AS confianza
+    FROM ultimo WHERE atras <= 7 GROUP BY producto_id
+    """,
+)
+def _(r: Retail) -> DataFrame:
+    """The last selling days in the place of values that a network forecast."""
+    last = series.last_points(r.serie).select("producto_id", F.col("seq").alias("paso"), F.col("cantidad").alias("valor"))
+    out = series.forecast_summary(last.withColumn("metodo", F.lit(series.LSTM))).drop("varianza")
+    return out.withColumn("confianza", F.round("confianza", 9))
 
 
 _MOVES = """

@@ -11,6 +11,7 @@ from basketry.model import Retail
 from basketry.operators import dashboard, matching, sales
 from basketry.operators.recommend import peers
 from basketry.plans.registry import query
+from basketry.session import scratch_path
 from basketry.sources import images, json_columns
 
 # ---- scans ----------------------------------------------------------------
@@ -58,6 +59,36 @@ def _(r: Retail) -> DataFrame:
     return sales.explode_documents(docs)
 
 
+_PARTS = """
+, colocada AS (
+  SELECT *, (row_number() OVER (PARTITION BY venta_id ORDER BY linea, producto_id, cantidad, precio_unitario) - 1) // 3 AS parte FROM detalle
+), parte AS (
+  SELECT venta_id, parte, count(*) AS lineas, CAST(sum(cantidad) AS BIGINT) AS unidades, min(producto_id) AS menor, max(producto_id) AS mayor
+  FROM colocada GROUP BY ALL
+)
+"""
+
+
+@query(
+    "s3_document_parts",
+    _PARTS
+    + """
+    SELECT v.id, CAST(coalesce(parte, 0) AS INTEGER) AS parte, CAST(greatest(1, ceil(num_productos / 3)) AS INTEGER) AS partes,
+           c.nombre AS cliente, coalesce(lineas, 0) AS lineas, unidades, menor, mayor
+    FROM venta v LEFT JOIN cliente c ON c.id = cliente_id LEFT JOIN parte p ON p.venta_id = v.id
+    """,
+)
+def _(r: Retail) -> DataFrame:
+    """Documents of at most three lines a part: what each part holds."""
+    docs = sales.sale_documents(r.ventas_base, r.detalles, r.clientes, r.catalogo, lines_per_part=3)
+    ids = F.transform("detalles", lambda d: d["producto"]["id"])
+    units = F.aggregate("detalles", F.lit(0).cast("bigint"), lambda s, d: s + d["cantidad"])
+    return docs.select(
+        "id", "parte", "partes", F.col("cliente.nombre").alias("cliente"), F.size("detalles").cast("bigint").alias("lineas"),
+        F.when(F.size("detalles") > 0, units).alias("unidades"), F.array_min(ids).alias("menor"), F.array_max(ids).alias("mayor"),
+    )
+
+
 @query(
     "s4_sale_fields",
     "SELECT v.id, v.cliente_id, CAST(v.total AS DOUBLE) AS total, CAST(v.fecha AS DATE) AS fecha FROM venta v",
@@ -136,6 +167,44 @@ def _(r: Retail) -> DataFrame:
     return images.accepted(_page_files(r)).select("page_id", "path", "length")
 
 
+_READ_FILES = _FILES.replace("FROM pages", ", coalesce(html, '') AS html FROM pages")
+
+
+def _read_files(r: Retail) -> DataFrame:
+    """Pages written out as files, and those of an accepted kind read back."""
+    folder = scratch_path(r.spark, "uploads")
+    content = F.coalesce("content", F.lit(b""))
+    images.write_files(_page_files(r).select(F.substring_index("path", "/", -1).alias("name"), content.alias("content")), folder)
+    return images.accepted(images.read_images(r.spark, folder)).withColumn("name", F.substring_index("path", "/", -1))
+
+
+@query(
+    "s10_files_read",
+    _READ_FILES
+    + r"""
+    SELECT path[9:] AS name, CAST(strlen(html) AS BIGINT) AS length, sha256(html) AS image_hash FROM files
+    WHERE lower(regexp_extract(path, '(\.[^./?#]+)$', 1)) IN ('.jpg', '.jpeg', '.png', '.gif', '.webp') AND strlen(html) <= 10485760
+    """,
+    views=False,
+)
+def _(r: Retail) -> DataFrame:
+    return images.with_hash(_read_files(r)).select("name", "length", "image_hash")
+
+
+@query(
+    "s11_first_of_each_file",
+    _READ_FILES
+    + r"""
+    SELECT sha256(html) AS image_hash, min(path[9:]) AS name, count(*) AS copias FROM files
+    WHERE lower(regexp_extract(path, '(\.[^./?#]+)$', 1)) IN ('.jpg', '.jpeg', '.png', '.gif', '.webp') AND strlen(html) <= 10485760
+    GROUP BY 1
+    """,
+    views=False,
+)
+def _(r: Retail) -> DataFrame:
+    return images.first_of_each(_read_files(r), "name")
+
+
 @query(
     "s11_image_hash",
     "SELECT sha256(text) AS image_hash, min(doc_id) AS doc_id, count(*) AS copias FROM documents GROUP BY 1",

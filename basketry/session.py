@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,23 @@ DEFAULTS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, so that they need no path to its source."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    source = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="basketry-package-")) / f"{source.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(source.rglob("*.py")):
+            out.write(file, file.relative_to(source.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def build_session(app: str = "basketry", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import scalars as X
+from basketry.session import materialize
 
 # Accepted extensions and the size limit.
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".gif", ".webp")
@@ -17,6 +21,31 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write each row (``name``, ``content``) as a file of its own; ``name, length`` of what was written.
+
+    A task writes under a name of its own and then renames, so a task that runs
+    twice leaves each file whole and once. The folder must be one all executors share.
+    """
+    uri = folder if "://" in folder else f"file://{folder}"
+    uri = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(uri)
+        for pdf in batches:
+            system.create_dir(place, recursive=True)
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                own = f"{place}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(own, compression=None) as out:
+                    out.write(content)
+                system.move(own, f"{place}/{name}")
+            yield pd.DataFrame({"name": pdf["name"], "length": pdf["content"].map(len).astype("int64")})
+
+    return materialize(files.select("name", "content").mapInPandas(write, "name string, length bigint"), "written-files")
+
+
 def accepted(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
     """Files with an accepted extension within the size limit.
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.functions import quantiles
-from basketry.functions.ranking import dense_position, number_rows, running_sums
+from basketry.functions.ranking import dense_position, number_rows, range_chunks, running_sums
 from basketry.operators import basket, recommend
 from basketry.operators.similar import top_similar
 
@@ -25,8 +25,12 @@ def test_running_sums_of_a_hot_key(spark):
 
 def test_numbers_without_gaps(spark):
     df = spark.createDataFrame([(i * 37 % 1000,) for i in range(300)], "p bigint")
-    got = number_rows(df, ["p"], F.floor(F.col("p") / 50), "n").orderBy("p").collect()
+    got = number_rows(df, ["p"], "n").orderBy("p").collect()
     assert [r["n"] for r in got] == list(range(1, 301))
+    alike = spark.createDataFrame([(f"same beginning {i * 37 % 1000:04}",) for i in range(300)], "p string")
+    cut = range_chunks(alike, ["p"], "alike").groupBy("chunk").count().collect()
+    assert len(cut) == 4 and max(r["count"] for r in cut) < 150  # one beginning, several chunks
+    assert [r["n"] for r in number_rows(alike, ["p"], "n").orderBy("p").collect()] == list(range(1, 301))
     names = spark.createDataFrame([(n,) for n in ("Verduras", "Bebidas", "Snacks", "Panadería", "Sin categoría")], "n string")
     got = {r["n"]: r["i"] for r in dense_position(names, "n", "i", start=0).collect()}
     assert got == {"Bebidas": 0, "Panadería": 1, "Sin categoría": 2, "Snacks": 3, "Verduras": 4}

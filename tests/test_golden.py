@@ -36,10 +36,13 @@ def test_large_sale_is_cut_into_parts(spark):
     detalles = spark.createDataFrame(lines, LINE)
     people = spark.createDataFrame([(1, "Ana")], "id bigint, nombre string")
     products = spark.createDataFrame([(p, f"p{p}", "c") for p in range(200)], "id bigint, nombre string, categoria string")
-    docs = sales.sale_documents(heads, detalles, people, products, lines_per_part=20).cache()
-    parts = docs.where("id = 1").select(F.size("detalles").alias("n")).collect()
-    assert len(parts) > 5 and max(r["n"] for r in parts) < 60 and sum(r["n"] for r in parts) == 200
-    assert docs.where("id <> 1").count() == 2
+    docs = sales.sale_documents(heads, detalles, people, products, lines_per_part=30).cache()
+    parts = [(r["parte"], r["partes"], [d.linea for d in r["detalles"]]) for r in docs.where("id = 1").orderBy("parte").collect()]
+    assert parts == [(k, 7, list(range(200))[30 * k : 30 * k + 30]) for k in range(7)]
+    assert sorted(tuple(r) for r in docs.where("id <> 1").select("id", "parte", "partes").collect()) == [(2, 0, 1), (3, 0, 1)]
+    # A limit above all sales gives the same lines in one part each.
+    whole = sales.sale_documents(heads, detalles, people, products)
+    assert whole.count() == 3 and whole.columns == docs.columns
     assert sales.explode_documents(docs).where("linea is not null").count() == 201
 
 
