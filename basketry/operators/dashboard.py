@@ -62,7 +62,10 @@ def last_days(ventas: DataFrame, detalles: DataFrame, as_of: Column, days: int =
     calendar = ventas.sparkSession.range(1).select(
         F.explode(F.sequence(F.date_sub(as_of, days - 1), as_of)).alias("dia")
     )
-    recent = ventas.where(F.coalesce(F.to_date("fecha"), as_of).between(F.date_sub(as_of, days - 1), as_of))
+    kind = ventas.schema["fecha"].dataType
+    begin, end = (d.cast(kind) for d in (F.date_sub(as_of, days - 1), F.date_add(as_of, 1)))
+    # Plain bounds reach the scan.
+    recent = ventas.where(F.col("fecha").isNull() | ((F.col("fecha") >= begin) & (F.col("fecha") < end)))
     return calendar.join(revenue_by_day(with_totals(recent, detalles, few=True), as_of), "dia", "left").select(
         F.date_format("dia", "yyyy-MM-dd").alias("dia"), F.coalesce("total", F.lit(0.0)).alias("total")
     )

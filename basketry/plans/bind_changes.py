@@ -510,6 +510,23 @@ def _(r: Retail) -> DataFrame:
     return left["restaurados"].select("id", "stock")
 
 
+@query(
+    "m20_purged_tables",
+    """
+    SELECT tabla, 0::BIGINT AS filas, columnas FROM (VALUES ('detalles', 5::BIGINT), ('ventas', 1), ('clientes', 4), ('productos', 5)) t(tabla, columnas)
+    """,
+    views=False,
+)
+def _(r: Retail) -> DataFrame:
+    """Rows and columns that the four purged tables have left."""
+    left = mutations.purge(r.catalogo, r.clientes, r.ventas_base.select("id"), r.detalles)
+    rows = [
+        left[name].agg(F.lit(name).alias("tabla"), F.count(F.lit(1)).alias("filas"), F.lit(len(left[name].columns)).cast("bigint").alias("columnas"))
+        for name in ("detalles", "ventas", "clientes", "productos")
+    ]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
 _NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
