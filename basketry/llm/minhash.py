@@ -1,12 +1,14 @@
 """Near duplicates by MinHash with banding, verified on full sets.
 
-Documents with equal shingle sets form a class; one document stands for it.
-Each class has ``bands * rows`` minima of universal hashes. A bucket is a band
-with equal minima. In every bucket each class is paired with the bucket's
-smallest id and with a member drawn by hash; classes that are still in
-different components are then paired with each other. Pairs pass a signature
-test, then the exact test on full sets. Components come from alternating
-large-star and small-star rounds on tables in the shared folder.
+Documents with equal shingle sets form a class, named by a digest of the set;
+links join classes. Each class has ``bands * rows`` minima of universal hashes. A
+bucket is a band with equal minima. In every bucket each class is paired with
+the bucket's smallest one and with a member drawn by hash. Classes of buckets that
+are then still in several components meet once more: not all with all, but
+those that share one of their rarest shingles, as every two similar sets do
+(``_sharing_rare``). Pairs pass a signature test, then the exact test on
+full sets. Components come from alternating large-star and small-star rounds on
+tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import others
+from basketry.llm.common import SPACE_CHARS, others
 from basketry.session import materialize
 
 BANDS, ROWS = 32, 5
 SLACK = 0.20  # a signature below the bound by more than this (six deviations) is not tested exactly
+NIBBLES = 16  # minima that one long of a stored signature holds, four bits each
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -81,107 +84,173 @@ def components(edges: DataFrame) -> DataFrame:
             return links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
+def _name(of: np.ndarray) -> str:
+    return hashlib.blake2b(of.tobytes(), digest_size=16).hexdigest()
+
+
+def _packed(sig: np.ndarray) -> np.ndarray:
+    """The low four bits of each minimum, as longs."""
+    low = (sig & np.uint32(15)).astype(np.uint64).reshape(-1, NIBBLES)
+    return (low << (np.arange(NIBBLES, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _differing(a: str, b: str) -> Column:
+    """Number of minima of two stored signatures that differ in their four bits."""
+    total = F.lit(0)
+    for k in range(BANDS * ROWS // NIBBLES):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
+
+
 def near_components(docs: DataFrame, width: int = 4, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, set_key, n_shingles, component_id), one row per row of ``docs``.
+    """(id, text_hash, n_shingles, component, component_id), one row per row of ``docs``.
+
+    ``component`` names the component, ``component_id`` is its smallest id.
 
     Documents without words have an empty set and are linked with nothing; so are
-    rows with a null id, whose component is null. Repeated rows are copies.
+    rows with a null id, whose component is null. Links join texts, not ids: rows
+    with one id and different texts may be in different components. Repeated rows are copies.
     """
+    id_, body = F.col(f"`{key}`"), F.col(f"`{text}`")
 
-    @F.pandas_udf("n long, set_key string, signature binary")
+    @F.pandas_udf("n long, set_key string, signature array<bigint>, bands array<bigint>")
     def sketch(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             rows = []
             for t in texts:
                 s = shingles(t, width)
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), signature(s).tobytes() if len(s) else b""))
-            yield pd.DataFrame(rows, columns=["n", "set_key", "signature"])
+                sig = signature(s) if len(s) else None
+                bands = [] if sig is None else [xxhash.xxh3_64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(sig.reshape(BANDS, ROWS))]
+                rows.append((len(s), _name(s), [] if sig is None else _packed(sig), bands))
+            yield pd.DataFrame(rows, columns=["n", "set_key", "signature", "bands"])
 
-    drawn = docs.select(F.col(f"`{key}`").alias("id"), sketch(F.col(f"`{text}`")).alias("s"))
-    table = materialize(drawn.select("id", "s.n", "s.set_key", "s.signature"), "sketches")
+    drawn = docs.select(id_.alias("id"), F.xxhash64(body).alias("text_hash"), sketch(body).alias("s"))
+    table = materialize(drawn.select("id", "text_hash", "s.*"), "sketches")
     real = table.where("n > 0 and id is not null")
-    reps = materialize(real.groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
-    chosen = materialize(
-        real.join(reps, ["set_key"]).where("id = rep").select("rep", "n", "signature").dropDuplicates(["rep"]), "representatives"
-    )
-    band = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))),
+    classes = real.groupBy("set_key").agg(
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
     )
-    buckets = chosen.select("rep", F.explode(band).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(
-        F.min("rep").alias("low"), F.count("*").alias("m"),
-        F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep")).alias("drawn"),
+    classes = materialize(classes, "classes")
+    members = classes.select("set_key", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(
+        F.min("set_key").alias("low"), F.count("*").alias("m"), F.max_by("set_key", F.xxhash64("set_key", "bucket")).alias("drawn")
     ).where("m > 1")
-    members = materialize(buckets.join(shared, "bucket").select("bucket", "rep", "low", F.col("drawn.rep").alias("drawn")), "buckets")
+    members = materialize(members.join(shared, "bucket").select("bucket", "set_key", "low", "drawn"), "buckets")
     pairs = (
-        members.select("rep", F.explode(F.array("low", "drawn")).alias("other"))
-        .where("rep != other")
-        .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+        members.select(F.col("set_key").alias("x"), F.explode(F.array("low", "drawn")).alias("y"))
+        .where("x != y")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
-    links = materialize(_verified(pairs, chosen, docs, width, percent, key, text), "near-links")
+    read = _reader(docs, classes, width, key, text)
+    likely = _likely(pairs, classes, percent)
+    links = materialize(_verified(likely, materialize(read(likely), "full-sets"), percent), "near-links")
     joined = components(links)
-    label = members.join(joined, members.rep == joined.node, "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    label = members.join(joined, members.set_key == joined.node, "left").select("bucket", "set_key", F.coalesce("root", "set_key").alias("root"))
     label = materialize(label, "bucket-roots")
     split = label.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    open_ = materialize(label.join(split, "bucket"), "open-buckets")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    more = materialize(_verified(rest, chosen, docs, width, percent, key, text), "near-links")
+    open_ = materialize(label.join(split, "bucket").select("set_key", "root").distinct(), "open-classes")
+    sets = materialize(read(open_.select(F.col("set_key").alias("a"), F.col("set_key").alias("b"))), "open-sets")
+    rest = _likely(_sharing_rare(sets.join(open_, "set_key"), percent), classes, percent)
+    more = materialize(_verified(rest, sets, percent), "near-links")
     roots = joined if more.isEmpty() else components(links.union(more))
-    classes = reps.join(roots, reps.rep == roots.node, "left").select("set_key", F.coalesce("root", "rep").alias("root"))
-    return table.join(classes, "set_key", "left").select(
-        "id", "set_key", F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id"))).alias("component_id"),
+    named = classes.join(roots, classes.set_key == roots.node, "left").select("set_key", "rep", F.coalesce("root", "set_key").alias("root"))
+    named = materialize(named, "class-roots")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    named = named.join(least, "root").select("set_key", "root", "least")
+    return table.join(named, "set_key", "left").select(
+        "id", "text_hash", F.col("n").alias("n_shingles"), F.col("root").alias("component"),
+        F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))).alias("component_id"),
     )
 
 
-def _verified(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) that pass the signature test and then the test on full sets."""
-    left = chosen.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-    right = chosen.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes and signatures allow a link."""
+    left = classes.select(F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
+    right = classes.select(F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+    most = int((1 - percent / 100 + SLACK) * BANDS * ROWS)
+    near = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return materialize(near.where(_differing("sa", "sb") <= most).select("a", "b"), "likely-pairs")
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        bound = (percent / 100 - SLACK) * BANDS * ROWS
-        return pd.Series([(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum() >= bound for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    likely = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    likely = materialize(likely.where(alike("sa", "sb")).select("a", "b"), "likely-pairs")
-    needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _reader(docs: DataFrame, classes: DataFrame, width: int, key: str, text: str):
+    """A function that reads the full sets (set_key, shingles) of the classes in pairs (a, b)."""
 
-    @F.pandas_udf("binary")
-    def full(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, width).tobytes() for t in texts])
+    @F.pandas_udf("set_key string, shingles array<bigint>")
+    def full(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t, width) for t in texts]
+        return pd.DataFrame({"set_key": [_name(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    sets = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("body")).join(needed, "id", "left_semi")
-    sets = materialize(sets.select("id", full("body").alias("shingles")).dropDuplicates(["id"]), "full-sets")
+    def read(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+        ids = classes.join(needed, "set_key", "left_semi").select(F.col("rep").alias("id")).distinct()
+        near = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("body")).join(ids, "id", "left_semi")
+        # Other texts may have the same id: the name of the set tells which are meant.
+        sets = near.select(full("body").alias("s")).select("s.*").join(needed, "set_key", "left_semi")
+        return sets.groupBy("set_key").agg(F.first("shingles").alias("shingles"))
+
+    return read
+
+
+def _sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the given classes (set_key, shingles, root) that share a rare shingle and have different roots.
+
+    In one order of all shingles, the rarest first, two sets with a similarity of
+    ``percent`` share one of the first n - ceil(n * percent / 100) + 1 of each. Shingles
+    of one set only come first of all and are shared by none, so they only count.
+    """
+    each = sets.select("set_key", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    placed = each.join(common, "shingle").groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    n = F.size("shingles")
+    first = n - F.ceil(n * percent / 100) + 1 - (n - F.size("common"))
+    rare = (
+        sets.join(placed, "set_key")
+        .withColumn("first", first.cast("int"))
+        .where("first > 0")
+        .select("set_key", "root", n.alias("n"), F.explode(F.slice("common", F.lit(1), F.col("first"))["shingle"]).alias("shingle"))
+    )
+    rare = materialize(rare, "rare-shingles")
+    x, y = rare.alias("x"), rare.alias("y")
+    close = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set_key") < F.col("y.set_key")) & (F.col("x.root") != F.col("y.root")) & close)
+    return met.select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the test on full sets (set_key, shingles)."""
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(a, b, strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for p, q in zip(a, b, strict=True):
             both = len(np.intersect1d(p, q, assume_unique=True))
             out.append(100 * both >= percent * (len(p) + len(q) - both))
         return pd.Series(out, dtype=bool)
 
-    pa = sets.select(F.col("id").alias("a"), F.col("shingles").alias("pa"))
-    pb = sets.select(F.col("id").alias("b"), F.col("shingles").alias("pb"))
-    return likely.join(pa, "a").join(pb, "b").where(linked("pa", "pb")).select("a", "b")
+    pa = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("pa"))
+    pb = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("pb"))
+    return pairs.join(pa, "a").join(pb, "b").where(linked("pa", "pb")).select("a", "b")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The columns of ``docs``, one row of each component; rows with null id and empty texts stay."""
-    found = near_components(docs, key=key, text=text, **options).where("id = component_id").select("id").distinct()
-    id_: Column = F.col(f"`{key}`")
-    kept = docs.where(id_.isNotNull()).join(found, id_ == found.id, "left_semi")
-    first = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    kept = kept.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").select(*others(docs))
-    return kept.union(docs.where(id_.isNull()))
+    """The columns of ``docs``, one row of each component: the smallest id, of its texts the one with the smallest hash.
+
+    Rows with null id and texts without words stay, each of them.
+    """
+    found = near_components(docs, key=key, text=text, **options).where("n_shingles > 0 and id is not null")
+    rows = found.groupBy("component", "id", "text_hash").agg(F.count("*").alias("_rows"))
+    first = rows.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("f"))
+    chosen = rows.join(first, "component").where(F.struct("id", "text_hash") == F.col("f")).select("id", "text_hash", "_rows")
+    chosen = materialize(chosen, "chosen-rows")
+
+    id_, body = F.col(f"`{key}`"), F.col(f"`{text}`")
+    empty = id_.isNull() | (F.coalesce(F.length(F.btrim(body, F.lit(SPACE_CHARS))), F.lit(0)) == 0)
+    picked = lambda of: docs.where(~empty).join(of, (id_ == of.id) & (F.xxhash64(body) == of.text_hash), "left_semi")
+    # Only rows that are there more than once need counting, so few texts are shuffled for it.
+    again = Window.partitionBy(key, F.xxhash64(body)).orderBy(F.xxhash64(*others(docs)))
+    copies = picked(chosen.where("_rows > 1")).withColumn("_copy", F.row_number().over(again)).where("_copy = 1").select(*others(docs))
+    return docs.where(empty).unionByName(picked(chosen.where("_rows = 1"))).unionByName(copies)

@@ -89,7 +89,38 @@ def test_near_duplicates_equal_all_pairs(docs, small, spark):
 def test_near_duplicates_keep_one_and_null_ids(docs, none):
     kept = [r.doc_id for r in minhash.keep_one(docs).collect()]
     assert sorted(i for i in kept if i is not None) == [1, 4, 5, 6, 7, 9, 11, 12] and kept.count(None) == 2
-    assert minhash.near_components(none).count() == 0
+    assert minhash.near_components(none).count() == 0 and minhash.keep_one(none).count() == 0
+
+
+def test_near_duplicates_of_different_texts_under_one_id(spark):
+    a, b = words(3, 120), words(9, 120)
+    rows = [(1, a), (1, b), (2, a.replace("w21x", "zzz", 1)), (3, b + " end"), (4, words(17, 90)), (1, a), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", None, "x", "y") for i, t in rows], SCHEMA)
+    got = sorted((r.id, r.component_id) for r in minhash.near_components(docs).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (5, 5)]
+    kept = sorted((r.doc_id, r.text) for r in minhash.keep_one(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (4, words(17, 90)), (5, ""), (5, "")])
+
+
+def test_near_duplicates_of_a_template(spark):
+    """Texts that share a template but are not near: few pairs are made, and the planted links are found."""
+    import random
+
+    rng = random.Random(6)
+    base = words(3, 100).split()
+    rows = []
+    for i in range(240):
+        t = list(base)
+        for at in rng.sample(range(100), 7):
+            t[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(t)))
+    rows += [(300 + i, rows[i][1] + " tail") for i in range(0, 240, 6)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, None, "s", None, "x", "y") for i, t in rows], SCHEMA)
+    assert {r.id: (r.n_shingles, r.component_id) for r in minhash.near_components(docs).collect()} == _components(rows)
+    open_ = spark.createDataFrame([(str(i), [int(x) for x in minhash.shingles(t, 4).view("int64")], str(i)) for i, t in rows], "set_key string, shingles array<bigint>, root string")
+    pairs = {(r.a, r.b) for r in minhash._sharing_rare(open_, 80).collect()}
+    assert len(pairs) <= 300 and {tuple(sorted((str(i), str(300 + i)))) for i in range(0, 240, 6)} <= pairs
 
 
 def test_mix_comes_near_its_targets(docs, none):
