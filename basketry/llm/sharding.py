@@ -61,16 +61,17 @@ def shuffle_into_shards(
         F.struct(*others(docs, *results)).alias("row"),
         size.alias("size"),
     )
-    rows = rows.withColumn("bucket", F.col("shard") * F.lit(per_shard) + F.col("part"))
+    rows = rows.withColumn("bucket", (F.col("shard") * F.lit(per_shard) + F.col("part")).cast("int"))
 
     # Slots start where the earlier buckets of the shard end.
     filled = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = filled.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
 
-    # The number of partitions is fixed, so the seeds of the shuffle are too.
+    # A bucket is a partition of its own, and its number is the partition's: Spark seeds its
+    # shuffle by partition, so a bucket's order depends on its rows and the seed alone.
     gathered = (
-        rows.repartition(int(shards * per_shard), "bucket")
+        rows.repartitionById(int(shards * per_shard), F.col("bucket"))
         .groupBy("bucket")
         .agg(F.sort_array(F.collect_list(F.struct("order", "shard", "size", "row"))).alias("rows"))
         .withColumn("rows", F.shuffle("rows", F.lit(seed)))

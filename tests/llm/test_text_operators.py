@@ -158,6 +158,34 @@ def test_rows_of_one_id_spread_over_the_buckets(spark):
     assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(400))
 
 
+def test_shards_do_not_depend_on_how_rows_arrive(spark, docs):
+    table = spark.createDataFrame([(i % 900, f"text {i * 7919 % 1000}") for i in range(1000)], "doc_id long, text string")
+    whole = table.union(docs.select("doc_id", "text"))
+
+    def slots(parts, **how):
+        dealt = sharding.shuffle_into_shards(whole.repartition(parts), shards=4, bucket_bytes=2000, **how)
+        return sorted(((r.doc_id, r.text, r.shard, r.slot) for r in dealt.collect()), key=str)
+
+    assert slots(2) == slots(13) and slots(2) != slots(2, seed=21)
+    plan = sharding.shuffle_into_shards(whole, shards=4, bucket_bytes=2000)._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+    # Within a shard the rows are neither in the order of their ids nor of their texts.
+    first = [r[0] for r in sorted((r for r in slots(2) if r[2] == 0), key=lambda r: r[3])][:60]
+    assert first != sorted(first, key=str)
+
+
+def test_written_shards_follow_their_slots(spark, docs, tmp_path):
+    shuffled = sharding.shuffle_into_shards(docs.select("doc_id", "text"), shards=3, bucket_bytes=1000)
+    sharding.write_shards(shuffled, f"file://{tmp_path}/shards")
+    read = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert sorted(map(str, read.select("doc_id", "text", "shard", "slot").collect())) == sorted(
+        map(str, shuffled.select("doc_id", "text", "shard", "slot").collect())
+    )
+    for file in {r[0] for r in read.select(F.input_file_name()).distinct().collect()}:
+        order = [r.slot for r in spark.read.parquet(file).collect()]
+        assert order == sorted(order)
+
+
 def test_later_copy_of_a_passage_goes(docs, none):
     rows = linededup.dedup_lines(docs).collect()
     assert len(rows) == docs.count() and linededup.dedup_lines(none).count() == 0
@@ -212,6 +240,49 @@ def test_top_k_equals_all_scores(spark):
     assert topk.top_k(table.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_rows_over_many_blocks(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(topk, "BLOCK", 30)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    rng = random.Random(8)
+    spots = [[rng.uniform(-2, 2) for _ in range(5)] for _ in range(9)]
+    rows = [(rng.choice([None, *range(0, 90, 5)]), rng.choice(spots)[: rng.choice([4, 5])]) for _ in range(160)]
+    rows += [(40, [9.0] * 5), (40, [9.0] * 5), (60, [0.0]), (61, [])]
+    table = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "vec_id long, embedding array<double>, q string, number int, copies int")
+    ints = [[int(np.floor(64 * x)) for x in v] for _, v in rows]
+    score = lambda a, b: sum(x * y for x, y in zip(ints[a], ints[b], strict=False))
+    want = []
+    for a, (id_, _) in enumerate(rows):
+        if id_ is None or id_ % 20:
+            continue
+        order = sorted((-score(a, b), float("inf") if rows[b][0] is None else rows[b][0], b) for b in range(len(rows)) if b != a)[:7]
+        want += [(id_, k + 1, rows[b][0], -s) for k, (s, _, b) in enumerate(order)]
+    got = [tuple(r) for r in topk.top_k(table, k=7).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_only_sufficient_entries_are_added_up():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    v = rng.integers(-64, 65, (400, 16))
+    block = pd.DataFrame({"number": range(400), "v": list(v), "copies": 1})
+    met = topk.Meeting(block[:20].reset_index(drop=True), block)
+    scores = v[:20] @ v.T
+    np.fill_diagonal(scores, -(1 << 40))
+    cutoffs = np.sort(scores, axis=1)[:, -5]
+    row, col = met.sufficient(list(cutoffs))
+    assert len(row) < 0.2 * scores.size
+    assert {(r, c) for r, c in zip(*np.nonzero(scores >= cutoffs[:, None]), strict=True)} <= set(zip(row, col, strict=True))
+    huge = block.assign(v=[x * (1 << 50) for x in v])
+    big = topk.Meeting(huge[:20].reset_index(drop=True), huge)
+    assert big.scores(np.array([3]), np.array([7]))[0] == max(-topk.LONG, min(topk.LONG, int(v[3] @ v[7]) << 100))
+
+
 def test_warc_round_trip(spark, none, tmp_path):
     from basketry.llm import warc
 
