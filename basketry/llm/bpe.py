@@ -23,7 +23,7 @@ from basketry.llm.common import others
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
-CACHE = 200_000  # pieces a worker remembers before it starts anew; it bounds memory only
+CACHE = 150_000  # pieces in each of a worker's two generations of memory; it bounds memory only
 
 _loaded: dict[str, Encoder] = {}
 
@@ -65,6 +65,7 @@ class Encoder:
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}  # the generation before: what is seen again moves on
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of ``a`` and ``b`` together encode to just these two.
@@ -110,19 +111,39 @@ class Encoder:
         shown = "".join([self.letter[b] for b in text.encode("utf-8", "surrogatepass")])
         last: list[int | None] = [None] * (len(shown) + 1)
         width = [0] * (len(shown) + 1)
+        fits, compatible = self.fits.get, self.compatible
         for end, (token, n) in self.automaton.iter(shown):
             end += 1
             if last[end] is None:
                 start = end - n
-                before = last[start]
-                if start == 0 or (before is not None and self.compatible(before, token)):
-                    last[end], width[end] = token, n
+                if start:
+                    before = last[start]
+                    if before is None:
+                        continue
+                    fit = fits((before, token))
+                    if not (compatible(before, token) if fit is None else fit):
+                        continue
+                last[end], width[end] = token, n
         ids, at = [], len(shown)
         while at:
             ids.append(last[at])
             at -= width[at]
         return ids[::-1]
 
+    def _learn(self, piece: str) -> tuple[str, int, bytes]:
+        """Ids, their number and bytes of a piece that the newer generation does not know."""
+        found = self.older.get(piece)
+        if found is None:
+            own = self.piece(piece)
+            found = (",".join(map(str, own)), len(own), b"".join([self.bytes_of[i] for i in own]))
+        if len(piece) < 64:
+            if len(self.known) >= CACHE:
+                # Emptied and filled in place: ``encode`` holds a method of the newer one.
+                self.older = dict(self.known)
+                self.known.clear()
+            self.known[piece] = found
+        return found
+
     def encode(self, text: str) -> tuple[str, int, str]:
         """Decimal ids joined by commas, their number, and the decoded text."""
         ids, n, out = [], 0, []
@@ -132,18 +153,11 @@ class Encoder:
                 out.append(part.encode())
                 n += 1
                 continue
-            for piece in self.pattern.findall(part):
-                found = self.known.get(piece)
-                if found is None:
-                    own = self.piece(piece)
-                    found = (",".join(map(str, own)), len(own), b"".join([self.bytes_of[i] for i in own]))
-                    if len(self.known) > CACHE:
-                        self.known.clear()
-                    if len(piece) < 64:
-                        self.known[piece] = found
-                ids.append(found[0])
-                n += found[1]
-                out.append(found[2])
+            known, learn = self.known.get, self._learn
+            found = [known(piece) or learn(piece) for piece in self.pattern.findall(part)]
+            ids += [f[0] for f in found]
+            n += sum([f[1] for f in found])
+            out += [f[2] for f in found]
         return ",".join(ids), n, b"".join(out).decode("utf-8", "replace")
 
 
