@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import SPACE_CHARS, others
@@ -27,6 +28,7 @@ from basketry.session import materialize
 
 BANDS, ROWS = 32, 5
 SLACK = 0.20  # a signature below the bound by more than this (six deviations) is not tested exactly
+BATCH = 512  # texts or pairs of sets that a worker holds at once
 NIBBLES = 16  # minima that one long of a stored signature holds, four bits each
 
 
@@ -105,6 +107,18 @@ def _differing(a: str, b: str) -> Column:
     return total
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of few rows for what is written meanwhile: texts and full sets can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def near_components(docs: DataFrame, width: int = 4, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text_hash, n_shingles, component, component_id), one row per row of ``docs``.
 
@@ -114,6 +128,11 @@ def near_components(docs: DataFrame, width: int = 4, percent: int = 80, key: str
     rows with a null id, whose component is null. Links join texts, not ids: rows
     with one id and different texts may be in different components. Repeated rows are copies.
     """
+    with small_batches(docs.sparkSession):
+        return _near_components(docs, width, percent, key, text)
+
+
+def _near_components(docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
     id_, body = F.col(f"`{key}`"), F.col(f"`{text}`")
 
     @F.pandas_udf("n long, set_key string, signature array<bigint>, bands array<bigint>")
@@ -154,7 +173,8 @@ def near_components(docs: DataFrame, width: int = 4, percent: int = 80, key: str
     split = label.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
     open_ = materialize(label.join(split, "bucket").select("set_key", "root").distinct(), "open-classes")
     sets = materialize(read(open_.select(F.col("set_key").alias("a"), F.col("set_key").alias("b"))), "open-sets")
-    rest = _likely(_sharing_rare(sets.join(open_, "set_key"), percent), classes, percent)
+    told = sets.join(open_, "set_key").join(classes.select("set_key", "signature"), "set_key")
+    rest = materialize(_sharing_rare(told, percent), "likely-pairs")
     more = materialize(_verified(rest, sets, percent), "near-links")
     roots = joined if more.isEmpty() else components(links.union(more))
     named = classes.join(roots, classes.set_key == roots.node, "left").select("set_key", "rep", F.coalesce("root", "set_key").alias("root"))
@@ -167,13 +187,17 @@ def near_components(docs: DataFrame, width: int = 4, percent: int = 80, key: str
     )
 
 
+def _most(percent: int) -> int:
+    """Number of differing minima above which a link is out of the question."""
+    return int((1 - percent / 100 + SLACK) * BANDS * ROWS)
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sizes and signatures allow a link."""
     left = classes.select(F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
     right = classes.select(F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
-    most = int((1 - percent / 100 + SLACK) * BANDS * ROWS)
     near = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return materialize(near.where(_differing("sa", "sb") <= most).select("a", "b"), "likely-pairs")
+    return materialize(near.where(_differing("sa", "sb") <= _most(percent)).select("a", "b"), "likely-pairs")
 
 
 def _reader(docs: DataFrame, classes: DataFrame, width: int, key: str, text: str):
@@ -184,6 +208,9 @@ def _reader(docs: DataFrame, classes: DataFrame, width: int, key: str, text: str
         sets = [shingles(t, width) for t in texts]
         return pd.DataFrame({"set_key": [_name(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
+    # Else a test for null keys would be moved before the join, and with it all texts would be read.
+    full = full.asNondeterministic()
+
     def read(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
         ids = classes.join(needed, "set_key", "left_semi").select(F.col("rep").alias("id")).distinct()
@@ -196,11 +223,13 @@ def _reader(docs: DataFrame, classes: DataFrame, width: int, key: str, text: str
 
 
 def _sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the given classes (set_key, shingles, root) that share a rare shingle and have different roots.
+    """Pairs (a, b) of the given classes (set_key, shingles, root, signature) that may link and have different roots.
 
     In one order of all shingles, the rarest first, two sets with a similarity of
     ``percent`` share one of the first n - ceil(n * percent / 100) + 1 of each. Shingles
-    of one set only come first of all and are shared by none, so they only count.
+    of one set only come first of all and are shared by none, so they only count. At
+    the first that two sets share, what is left of either must hold their whole
+    overlap. Sizes, places and signatures are tested in the join, so it gives likely pairs only.
     """
     each = sets.select("set_key", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
@@ -211,12 +240,19 @@ def _sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
         sets.join(placed, "set_key")
         .withColumn("first", first.cast("int"))
         .where("first > 0")
-        .select("set_key", "root", n.alias("n"), F.explode(F.slice("common", F.lit(1), F.col("first"))["shingle"]).alias("shingle"))
-    )
+        .select(
+            "set_key", "root", "signature", n.alias("n"), F.size("common").alias("left"),
+            F.posexplode(F.slice("common", F.lit(1), F.col("first"))["shingle"]).alias("at", "shingle"),
+        )
+        .withColumn("left", F.col("left") - F.col("at"))
+    )
     rare = materialize(rare, "rare-shingles")
     x, y = rare.alias("x"), rare.alias("y")
     close = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set_key") < F.col("y.set_key")) & (F.col("x.root") != F.col("y.root")) & close)
+    enough = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n"))
+    alike = _differing("x.signature", "y.signature") <= _most(percent)
+    other = (F.col("x.set_key") < F.col("y.set_key")) & (F.col("x.root") != F.col("y.root"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & other & close & enough & alike)
     return met.select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b")).distinct()
 
 

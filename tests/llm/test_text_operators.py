@@ -118,7 +118,9 @@ def test_near_duplicates_of_a_template(spark):
     rng.shuffle(rows)
     docs = spark.createDataFrame([(i, t, None, "s", None, "x", "y") for i, t in rows], SCHEMA)
     assert {r.id: (r.n_shingles, r.component_id) for r in minhash.near_components(docs).collect()} == _components(rows)
-    open_ = spark.createDataFrame([(str(i), [int(x) for x in minhash.shingles(t, 4).view("int64")], str(i)) for i, t in rows], "set_key string, shingles array<bigint>, root string")
+    sets = [(str(i), minhash.shingles(t, 4)) for i, t in rows]
+    told = [(i, [int(x) for x in s.view("int64")], i, [int(x) for x in minhash._packed(minhash.signature(s))]) for i, s in sets]
+    open_ = spark.createDataFrame(told, "set_key string, shingles array<bigint>, root string, signature array<bigint>")
     pairs = {(r.a, r.b) for r in minhash._sharing_rare(open_, 80).collect()}
     assert len(pairs) <= 300 and {tuple(sorted((str(i), str(300 + i)))) for i in range(0, 240, 6)} <= pairs
 
