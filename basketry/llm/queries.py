@@ -65,20 +65,21 @@ def op8(spark, sf_dir):
     return topk.top_k(load(spark, sf_dir, "embeddings"))
 
 
-def _remainder(parts):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+def _held_out(parts):
+    """Whether the remainder of the id's hash is 2; false for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == 2, F.lit(False))
 
 
 @_query("op2_ppm_language")
 def op2(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    found = langid.identify(docs, _remainder(4) != 2)
-    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    found = langid.identify(docs, ~_held_out(4))
+    return found.select("doc_id", _held_out(4).alias("held_out"), "lang_pred", "score")
 
 
 @_query("op3_ctw_score")
 def op3(spark, sf_dir):
-    return ctw.score(load(spark, sf_dir, "documents"), _remainder(7) == 2, depth=ctw.DEPTH)
+    return ctw.score(load(spark, sf_dir, "documents"), _held_out(7), depth=ctw.DEPTH)
 
 
 @_query("op1_warc")

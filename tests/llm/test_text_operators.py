@@ -324,6 +324,14 @@ def test_warc_round_trip(spark, none, tmp_path):
             assert own[h["WARC-Refers-To"]]["X-Page-ID"] == h["X-Refers-To-Page-ID"]
 
 
+def test_null_ids_are_not_held_out(spark, docs, tmp_path):
+    from basketry.llm.queries import QUERIES
+
+    docs.select("doc_id", "text", F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op2_ppm_language"](spark, str(tmp_path)).collect()
+    assert all(r.held_out in (True, False) for r in rows) and [r.held_out for r in rows if r.doc_id is None] == [False, False]
+
+
 def test_language_held_out_and_odd_texts(spark, docs, none):
     from basketry.llm import langid
     from basketry.llm.queries import QUERIES
