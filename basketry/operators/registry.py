@@ -37,12 +37,18 @@ def model_info(registry: DataFrame, names: Sequence[str] = MODELS) -> DataFrame:
     )
 
 
-def training_run(spark: SparkSession, at: datetime, runs: Sequence[tuple[str, float | None, int, Sequence[str]]]) -> DataFrame:
+def training_runs(spark: SparkSession, at: datetime, runs: Sequence[tuple[str, float | None, int, Sequence[str]]]) -> DataFrame:
     """Registry rows of trainings (name, accuracy, samples, features) that ended at one time."""
     rows = [(name, at, accuracy, samples, list(features)) for name, accuracy, samples, features in runs]
     return spark.createDataFrame(rows, MODEL_METADATA)
 
 
+def training_run(
+    spark: SparkSession, name: str, at: datetime, accuracy: float | None, samples: int, features: Sequence[str]
+) -> DataFrame:
+    return training_runs(spark, at, [(name, accuracy, samples, features)])
+
+
 def input_key(*columns: str) -> Column:
     """Hash of a request's input as JSON."""
     return X.content_hash(F.to_json(F.struct(*columns)))

@@ -112,9 +112,10 @@ def trend(first: Column, last: Column) -> Column:
 def forecast_summary(forecast: DataFrame) -> DataFrame:
     """Mean, trend and confidence of each product's seven forecast values.
 
-    The simple forecast (``metodo``) has the least confidence; that of the other
-    falls with the variance of its values.
+    The simple forecast (``metodo``, if there is such a column) has the least confidence;
+    that of the other falls with the variance of its values.
     """
+    method = F.first("metodo") if "metodo" in forecast.columns else F.lit(LSTM)
     return (
         forecast.groupBy("producto_id")
         .agg(
@@ -122,7 +123,7 @@ def forecast_summary(forecast: DataFrame) -> DataFrame:
             F.var_pop("valor").alias("varianza"),
             F.min_by("valor", "paso").alias("primero"),
             F.max_by("valor", "paso").alias("ultimo"),
-            F.first("metodo").alias("_metodo"),
+            method.alias("_metodo"),
         )
         .select(
             "producto_id",

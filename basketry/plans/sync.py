@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from basketry.operators import anomaly, pricing, segments
 from basketry.operators.customers import customer_metrics, with_rule_segment
 from basketry.operators.model_store import ModelStore
-from basketry.operators.registry import MODELS, training_run
+from basketry.operators.registry import MODELS, training_runs
 from basketry.operators.sales import product_snapshot, sale_snapshot, with_totals
 from basketry.session import materialize
 from basketry.sources import pointer
@@ -35,7 +35,7 @@ class Models:
             rows.append((MODELS[1], None, self.segments.samples, segments.FEATURES))
         if self.detector:
             rows.append((MODELS[2], None, self.detector.training.samples, anomaly.FEATURES))
-        return training_run(spark, at, rows)
+        return training_runs(spark, at, rows)
 
 
 def sync(
