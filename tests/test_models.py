@@ -216,3 +216,25 @@ def test_incremental_refresh_equals_batch(spark, tmp_path):
         got = refresh.refreshed_metrics(spark, root)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
         assert X.CUSTOMER_PREFIX + "1" in {r["nombre"] for r in got.collect()}
+
+
+def test_lstm_gradient_in_reused_arrays():
+    """The gradient of the cell, also where gates are at their bounds, against differences; arrays are used twice."""
+    rng = np.random.default_rng(3)
+    ids = np.arange(3)
+    for scale in (1.0, 9.0):
+        cell = forecast._start(ids)["cell"] * scale
+        run, x = forecast._Cell(3, 5), rng.random((3, 5, forecast.SEQUENCE_LENGTH))
+        run.forward(cell, x[::-1])
+        pull = rng.random((3, forecast.UNITS, 5))
+        run.forward(cell, x)
+        assert all(run.open) == (scale == 1.0)
+        grads = np.empty_like(cell)
+        run.backward(cell, pull, grads)
+        for unit, taken in [(0, 0), (17, 4), (40, 17), (60, 9)]:
+            ends = []
+            for step in (1e-6, -1e-6):
+                moved = cell.copy()
+                moved[:, unit, taken] += step
+                ends.append((run.forward(moved, x)[:, :-1] * pull).sum(axis=(1, 2)))
+            assert np.allclose((ends[0] - ends[1]) / 2e-6, grads[:, unit, taken], atol=1e-6)
