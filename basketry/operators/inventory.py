@@ -8,15 +8,18 @@ change that gives stock back. A request whose changes all fit under high is
 accepted; one with a change that does not fit even under low is rejected; the
 rest go to the next round. The earliest undecided request is always decided.
 
-Most undecided requests do not depend on each other. A product is contested if
-some undecided change on it does not fit under high. Contested products and the
-undecided requests on them form components, and each component is decided in
-order in a group of its own. Of a giant component the earliest changes, at most
-``GROUP_ROWS``, are decided so; nothing undecided comes before them. The rest
-goes to the next round, where fewer products are contested.
-
-The running sums are cut into chunks of the log (see ``ranking``), so a
-product that is in every sale is spread over many tasks.
+Most undecided requests do not depend on each other, so a round usually decides
+a good share of them, and the number of rounds grows with the logarithm of the
+log. Where a round decides little, requests wait for each other in long chains.
+A product is contested if some undecided change on it does not fit under high.
+Contested products and the undecided requests on them form components, and each
+component is decided in order in a group of its own. Of a giant component the
+earliest changes, at most ``GROUP_ROWS``, are decided so; nothing undecided comes
+before them. The rest goes to the next round, where fewer products are contested.
+The last ``GROUP_ROWS`` undecided changes are one such group.
+
+The running sums of a product with many changes are cut into chunks of the log
+(see ``ranking``), so a product that is in every sale is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from basketry.functions.components import components
 from basketry.functions.ranking import range_chunks, running_sums
@@ -33,6 +37,7 @@ from basketry.operators.sales import sale_facts
 from basketry.session import materialize, scratch_path
 
 GROUP_ROWS = 20_000  # changes of one component that one task decides in a round
+GOOD_ROUND = 8  # bounds go on alone while a round decides one in so many of the open changes
 
 # Operations and reject messages.
 CREATE, UPDATE, DELETE = "create", "update", "delete"
@@ -44,7 +49,9 @@ SHORT = "Stock insuficiente para producto '%s'. Disponible: %d, Solicitado: %d"
 
 _LINES = 4096  # lines of one request and product per chunk of a running sum
 
-_CHANGE = ["request_id", "fecha", "chunk", "producto_id", "delta", "stock", "taken"]
+_HOT = 10_000  # changes of a product that one window adds up
+
+_CHANGE = ["request_id", "fecha", "chunk", "producto_id", "delta", "stock", "taken", "hot"]
 
 
 @dataclass
@@ -130,9 +137,11 @@ def apply_log(
         .join(stock.select("producto_id", "stock"), "producto_id")
         .where(F.col("stock").isNotNull())
         .withColumn("taken", F.lit(0).cast("bigint"))
-        .select(*_CHANGE)
     )
     changes = materialize(changes, "changes")
+    many = changes.groupBy("producto_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > _HOT)
+    many = materialize(many.select("producto_id", F.lit(True).alias("hot")), "hot-products")
+    changes = changes.join(many, "producto_id", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).select(*_CHANGE)
     verdicts, rounds = _decide(changes, group_rows)
 
     # A request without any stock change (such as a sale without lines) is fine.
@@ -195,46 +204,48 @@ def _decide(changes: DataFrame, group_rows: int) -> tuple[DataFrame, int]:
     left = todo.count()
     rounds = 0
     changes.select("request_id", F.lit(True).alias("accepted")).limit(0).write.parquet(path)
-    while left:
+    while left > group_rows:
         rounds += 1
+        before = left
         state = materialize(_round(todo, fresh), f"round{rounds}")
-        if group_rows and not state.where(F.col("accepted").isNull()).isEmpty():
+        left = state.where(F.col("accepted").isNull()).count()
+        if group_rows and left > group_rows and (before - left) * GOOD_ROUND < before:
             state = materialize(_by_component(state, group_rows), f"components{rounds}")
+            left = state.where(F.col("accepted").isNull()).count()
         state.where(F.col("accepted").isNotNull()).select("request_id", "accepted").distinct().write.mode("append").parquet(path)
         fresh = state.where(F.col("accepted")).select(*_CHANGE)
         todo = state.where(F.col("accepted").isNull()).select(*_CHANGE)
-        left = todo.count()
+    if left:
+        _rest(todo, fresh).write.mode("append").parquet(path)
     return spark.read.schema("request_id bigint, accepted boolean").parquet(path), rounds
 
 
+def _ahead(todo: DataFrame, fresh: DataFrame | None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """``todo`` with the changes of ``fresh`` before each added to ``taken``, and ``sums`` over those of ``todo`` before it."""
+    rows = todo.withColumn("_new", F.lit(False))
+    if fresh is not None:
+        rows = rows.unionByName(fresh.withColumn("_new", F.lit(True)))
+    zero, order = F.lit(0).cast("bigint"), ["fecha", "request_id"]
+    values = {"_acc": F.when(F.col("_new"), F.col("delta")).otherwise(zero)}
+    values |= {name: F.when(~F.col("_new"), value).otherwise(zero) for name, value in (sums or {}).items()}
+    earlier = Window.partitionBy("producto_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    few = rows.where(~F.col("hot")).withColumns({n: F.coalesce(F.sum(v).over(earlier), zero) for n, v in values.items()})
+    summed = few.unionByName(running_sums(rows.where("hot"), ["producto_id"], "chunk", order, values))
+    return summed.where(~F.col("_new")).withColumn("taken", F.col("taken") + F.col("_acc")).drop("_new", "_acc")
+
+
 def _round(todo: DataFrame, fresh: DataFrame | None) -> DataFrame:
     """One round of bounds. ``fresh`` are the changes accepted since the last round.
 
     ``taken`` carries the earlier accepted changes, so rows that are decided
     leave the working set.
     """
-    rows = todo.withColumn("_new", F.lit(0))
-    if fresh is not None:
-        rows = rows.unionByName(fresh.withColumn("_new", F.lit(1)))
-    new, delta = F.col("_new") == 1, F.col("delta")
-    zero = F.lit(0).cast("bigint")
-    summed = running_sums(
-        rows,
-        ["producto_id"],
-        "chunk",
-        ["fecha", "request_id"],
-        {
-            "_acc": F.when(new, delta).otherwise(zero),
-            "_up": F.when(~new & (delta > 0), delta).otherwise(zero),
-            "_down": F.when(~new & (delta < 0), delta).otherwise(zero),
-        },
-    )
+    delta, zero = F.col("delta"), F.lit(0).cast("bigint")
     room = F.col("stock") - F.col("taken")
     tested = (
-        summed.where(F.col("_new") == 0)
-        .withColumn("taken", F.col("taken") + F.col("_acc"))
-        .withColumn("_high", (delta <= 0) | (room - F.col("_up") >= delta))
-        .withColumn("_low", (delta <= 0) | (room - F.col("_down") >= delta))
+        _ahead(todo, fresh, {"_up": F.greatest(delta, zero), "_down": F.least(delta, zero)})
+        .withColumn("_high", F.coalesce((delta <= 0) | (room - F.col("_up") >= delta), F.lit(True)))
+        .withColumn("_low", F.coalesce((delta <= 0) | (room - F.col("_down") >= delta), F.lit(True)))
         .select(*_CHANGE, "_high", "_low")
     )
     # Read twice below, so the running sums are written once.
@@ -255,10 +266,7 @@ def _by_component(state: DataFrame, group_rows: int) -> DataFrame:
     # Changes accepted in this very round are not in ``taken`` yet.
     pending = state.where(F.col("accepted")).join(contested, "producto_id", "left_semi")
     mine = materialize(open_.join(contested, "producto_id", "left_semi").select(*_CHANGE), "open-changes")
-    rows = mine.withColumn("_new", F.lit(0)).unionByName(pending.select(*_CHANGE).withColumn("_new", F.lit(1)))
-    accepted = F.when(F.col("_new") == 1, F.col("delta")).otherwise(F.lit(0).cast("bigint"))
-    ahead = running_sums(rows, ["producto_id"], "chunk", ["fecha", "request_id"], {"_acc": accepted}).where("_new = 0")
-    ahead = ahead.withColumn("taken", F.col("taken") + F.col("_acc")).select(*_CHANGE)
+    ahead = _ahead(mine, pending.select(*_CHANGE))
 
     # Two products are linked if a request has both: each to the request's smallest.
     least = mine.groupBy("request_id").agg(F.min("producto_id").alias("b"), F.count(F.lit(1)).alias("_rows"))
@@ -272,13 +280,22 @@ def _by_component(state: DataFrame, group_rows: int) -> DataFrame:
     return state.join(solved, "request_id", "left").select(*_CHANGE, F.coalesce("accepted", "_ok").alias("accepted"))
 
 
+def _rest(todo: DataFrame, fresh: DataFrame | None) -> DataFrame:
+    """Decide the last undecided changes, no more than one group takes, in order."""
+    sizes = todo.groupBy("request_id").agg(F.count(F.lit(1)).alias("_rows"))
+    rows = _ahead(todo, fresh).join(sizes, "request_id").withColumn("_part", F.lit(0))
+    return rows.groupBy("_part").applyInPandas(_in_order, "request_id bigint, _ok boolean").withColumnRenamed("_ok", "accepted")
+
+
 def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
     """Decide the first requests of a component one after the other."""
     used: dict[int, int] = {}
     out = []
-    for (_, request), part in rows.sort_values(["fecha", "request_id"]).groupby(["fecha", "request_id"], sort=True):
+    rows = rows.sort_values(["fecha", "request_id"], na_position="first")
+    for (_, request), part in rows.groupby(["fecha", "request_id"], sort=False, dropna=False):
         if len(part) < part["_rows"].iloc[0]:
             break  # cut by the limit: it and all later ones wait
+        part = part[part["delta"].notna()]  # an unknown quantity takes nothing
         need = list(zip(part["producto_id"], part["delta"], part["stock"], part["taken"], strict=True))
         ok = all(d <= 0 or s - t - used.get(p, 0) >= d for p, d, s, t in need)
         if ok:

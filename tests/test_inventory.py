@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,28 @@ def test_one_large_request_and_unreadable_products(spark, monkeypatch):
         2: inv.NO_PRODUCT,
         3: None,
     }
+
+
+def test_bounds_go_on_alone_while_they_decide_enough(spark, monkeypatch):
+    """Random sales share products in one giant component, yet each round decides a good share of them."""
+    monkeypatch.setattr(inv, "_by_component", None)
+    rng = random.Random(5)
+    heads = [(i, inv.CREATE, i, 1, DAY + timedelta(minutes=i)) for i in range(300)]
+    lines = [(i, k, p, rng.randint(1, 9), 1.0) for i in range(300) for k, p in enumerate(rng.sample(range(60), 3))]
+    products = [(p, f"p{p}", rng.randint(20, 60)) for p in range(60)]
+    result = compare(spark, (heads, lines, [1], products, [], []), group_rows=150)
+    assert 0 < result.rounds < 12
+
+
+def test_hot_products_and_a_last_group(spark, monkeypatch):
+    monkeypatch.setattr(inv, "_HOT", 30)
+    compare(spark, random_case(4, 120, 9, 60), group_rows=40)
+
+
+def test_a_group_takes_null_dates_first_and_null_quantities_as_nothing():
+    day = pd.Timestamp(DAY)
+    rows = pd.DataFrame(
+        [(1, day, 5, 3.0, 4, 0, 1), (2, pd.NaT, 5, 2.0, 4, 0, 1), (3, day, 5, None, 4, 0, 1), (4, day, 5, 2.0, 4, 0, 1)],
+        columns=["request_id", "fecha", "producto_id", "delta", "stock", "taken", "_rows"],
+    )
+    assert dict(inv._in_order(rows).to_numpy().tolist()) == {2: True, 1: False, 3: True, 4: True}
