@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from basketry import session
 from basketry.functions import quantiles
 from basketry.functions.ranking import dense_position, number_rows, range_chunks, running_sums
 from basketry.operators import basket, recommend
@@ -127,3 +128,19 @@ def test_product_vectors(spark):
     assert set(got[77]) == {0.0}
     alone = recommend.product_vectors(pairs.limit(0), lines)
     assert alone.count() == 6
+
+
+def test_training_removes_files_of_past_rounds(spark):
+    """Checkpoints of each round, in the shared folder, and a driver that collects while it trains."""
+    with session.short_lineage(spark, seconds=0.1):
+        assert spark.sparkContext.getCheckpointDir()
+    rows = spark.createDataFrame([(a, a + 1) for a in range(40)], "a long, b long")
+    lines = rows.select(F.col("a").alias("producto_id")).union(rows.select("b"))
+    kept = []
+    fit = recommend.ALS.fit
+    try:
+        recommend.ALS.fit = lambda self, df: kept.append(self.getCheckpointInterval()) or fit(self, df)
+        assert recommend.product_vectors(rows, lines, iterations=3).count() == 41
+    finally:
+        recommend.ALS.fit = fit
+    assert kept == [1]
