@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
+_LINES = 500_000  # mean number of lines whose pairs one task makes and counts
 
 
 def baskets(detalles: DataFrame) -> DataFrame:
@@ -27,9 +28,12 @@ def _pairs_per_sale(detalles: DataFrame, block: int = BLOCK) -> DataFrame:
         .where(F.col("_n") > block)
         .select("venta_id", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
     )
-    # The usual sale fits in an array: one shuffle, and pairs are made in place.
+    # The usual sale fits in an array: one shuffle, and pairs are made in place. AQE would merge partitions
+    # by the bytes of their lines; a task holds the counts of all its pairs, so the number of tasks follows the lines.
+    parts = max(lines.sparkSession.sparkContext.defaultParallelism, -(-lines.count() // _LINES))
     small = (
-        lines.join(large.select("venta_id"), "venta_id", "left_anti")
+        lines.repartition(parts, "venta_id")
+        .join(large.select("venta_id"), "venta_id", "left_anti")
         .groupBy("venta_id")
         .agg(F.collect_set("producto_id").alias("_set"))
         .select("_set", F.explode("_set").alias("a"))

@@ -130,6 +130,15 @@ def test_product_vectors(spark):
     assert alone.count() == 6
 
 
+def test_pair_tasks_follow_the_lines(spark, monkeypatch):
+    """However few bytes the lines have, a task makes the pairs of a bounded number of them."""
+    monkeypatch.setattr(basket, "_LINES", 10)
+    lines = spark.range(600).select(F.floor(F.col("id") / 3).alias("venta_id"), (F.col("id") % 50).alias("producto_id"))
+    made = basket._pairs_per_sale(lines)
+    assert made.rdd.getNumPartitions() >= 60
+    assert made.count() == 600
+
+
 def test_training_removes_files_of_past_rounds(spark):
     """Checkpoints of each round, in the shared folder, and a driver that collects while it trains."""
     with session.short_lineage(spark, seconds=0.1):
