@@ -99,6 +99,21 @@ def test_top_similar_is_exact(spark, block):
     for r in top_similar(df, 4, block_rows=block).orderBy("id", "puesto").collect():
         got.setdefault(r["id"], []).append(r["other"])
     assert got == _brute(ids, vectors, 4)
+    asked = spark.createDataFrame([(i,) for i in (*ids[::9], ids[-1], 5)], "id bigint")
+    some = {}
+    for r in top_similar(df, 4, block_rows=block, asked=asked).orderBy("id", "puesto").collect():
+        some.setdefault(r["id"], []).append(r["other"])
+    assert some == {i: got[i] for i in {*ids[::9], ids[-1]}}
+
+
+def test_recommendations_for_some_products(spark, rows):
+    """Those asked for get the list they have among all: by vectors, or by category without one."""
+    snapshot = spark.createDataFrame([(i, f"n{i}", f"c{i % 2}") for i in range(12)], "id bigint, nombre string, categoria string")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(i,) for i in (2, 7, 9)], "id bigint")
+    whole = recommend.recommendations(vectors, snapshot)
+    got = rows(recommend.recommendations(vectors, snapshot, asked=asked))
+    assert got == rows(whole.where("id in (2, 7, 9)")) and len(got) == 12
 
 
 def test_same_category_without_pairs(spark):

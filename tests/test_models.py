@@ -11,6 +11,8 @@ from basketry.functions import scalars as X
 from basketry.model import SOURCES
 from basketry.operators import anomaly, forecast, matching, pricing, registry, segments, series
 from basketry.session import materialize, scratch_path
+from basketry.plans import bind_models  # noqa: F401
+from basketry.plans.registry import QUERIES
 from basketry.sources import images, snapshots
 from basketry.streaming import refresh
 
@@ -31,6 +33,16 @@ def test_forecast_regimes(spark):
     assert methods == {p: (series.SIMPLE if p < 5 else series.LSTM, 7) for p in range(1, 7)}
 
 
+def test_identified_products_train_no_others(spark, small, monkeypatch):
+    """Of all products sold, only those some image shows are forecast; each has its list."""
+    given, train = [], forecast.forecast
+    monkeypatch.setattr(forecast, "forecast", lambda s: given.append({r[0] for r in s.select("producto_id").distinct().collect()}) or train(s, epochs=1))
+    out = QUERIES["n24_identified_products"](spark, small).collect()
+    shown = {r["producto_id"] for r in out if r["success"]}
+    assert shown and given[0] <= shown
+    assert all(r["relacionados"] > 0 for r in out if r["success"])
+
+
 def test_forecast_does_not_depend_on_neighbours():
     rng = np.random.default_rng(1)
     values = [rng.integers(1, 50, size=n).astype(float) for n in (18, 25, 40)]
