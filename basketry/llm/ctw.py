@@ -7,13 +7,15 @@ the estimates along the path with the resulting weights, from the root down; a
 context never seen in training leaves the rest of the weight with its parent.
 Contexts of up to TOP bytes are grouped and joined tables. The subtrees below
 them are dealt into groups of bounded mean size and weighted in numpy, so no
-level has to fit into one task. Texts are counted and scored in chunks, each
-with the windows and tokens it has.
+level has to fit into one task. Texts are counted and scored in chunks. A chunk
+sends its distinct windows and tokens to each group as one packed row and gets
+them back with their logarithms and counts.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,15 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.session import materialize, spread
+from basketry.session import drop_past_shuffles, materialize, slots, spread
 
 TOP = 3  # bytes of context whose nodes are tables
 DEPTH = 6  # bytes of context of the registered query; a window of 7 bytes is one long
 END = 0xFF  # never a byte of UTF-8; stands before and after a text
 CHUNK_BYTES = 32 << 20
-_BLOCK_BYTES = 4 << 20  # counted at once
-_GROUP = 250_000  # mean number of windows in a group of subtrees
-_BATCH = 200_000
+_BLOCK_BYTES = 2 << 20  # packed and counted at once
+_GROUP_BYTES = 8 << 20  # of text for each group of subtrees and tokens
+_UNSENT_BITS = 16  # last binary digits of a logarithm that are not sent: less than 1e-11 of it
+_SPREAD = 0x9E3779B1  # deals contexts into groups
 
 
 def windows(raw: bytes, depth: int) -> np.ndarray:
@@ -48,63 +51,153 @@ def _raw(text: str) -> bytes:
 
 
 def _cut(batches):
-    """Adds the chunk of each row: about CHUNK_BYTES of text of one task."""
+    """Texts in packed blocks of about _BLOCK_BYTES, with the chunk of each: about CHUNK_BYTES of one task."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    base, before = TaskContext.get().partitionId() << 32, 0
+    base, before, small = TaskContext.get().partitionId() << 32, 0, pa.ipc.IpcWriteOptions(compression="zstd")
     for batch in batches:
         sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
         starts = before + np.cumsum(sizes) - sizes
         before += int(sizes.sum())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + starts // CHUNK_BYTES)], names=["doc", "text", "held_out", "chunk"])
+        block = starts // _BLOCK_BYTES
+        cuts = [*np.flatnonzero(np.diff(block, prepend=-1)), len(block)]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=small) as out:
+                out.write_batch(batch.slice(at, end - at))
+            chunk = base + int(block[at]) * _BLOCK_BYTES // CHUNK_BYTES
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "bytes": [int(sizes[at:end].sum())], "docs": [sink.getvalue().to_pybytes()]})
+
+
+def _texts(docs: bytes) -> Iterator[tuple[str | None, bytes, bool]]:
+    """Id, bytes and held_out of each text of a block."""
+    import pyarrow as pa
+
+    table = pa.ipc.open_stream(docs).read_all()
+    for doc, text, held_out in zip(*(table.column(c).to_pylist() for c in ("doc", "text", "held_out")), strict=True):
+        yield doc, _raw(text), held_out
 
 
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    kinds, at = np.unique(keys, return_inverse=True)
-    return kinds, np.bincount(at, n, len(kinds)).astype(np.int64)
+    """The distinct keys in order, and the sum of ``n`` for each."""
+    order = np.argsort(keys, kind="stable")  # keys are mostly runs in order
+    keys, n = keys[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], (np.add.reduceat(n, starts) if len(keys) else n).astype(np.int64)
+
+
+def _pack(raw: bytes) -> bytes:
+    import pyarrow as pa
+
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _pack_numbers(values: np.ndarray) -> bytes:
+    """Numbers of eight bytes; bytes of equal place lie side by side."""
+    return _pack(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _numbers(packed: bytes, kind=np.int64) -> np.ndarray:
+    raw = np.frombuffer(_unpack(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(raw.T).view(kind).reshape(-1)
+
+
+def _tokens(packed: bytes, kinds: int) -> list[bytes]:
+    """Tokens joined by blanks; the empty one is the end."""
+    return _unpack(packed).split(b" ") if kinds else []
 
 
-def _counts(depth: int):
-    """Per chunk its distinct tokens (window -1, a null token is the end) and windows with their counts in training."""
+def _context(window: np.ndarray) -> np.ndarray:
+    return (window >> 8) & ((1 << (8 * TOP)) - 1)
+
+
+def _dealt(context, groups: int):
+    """The group of a context of TOP bytes, for numpy and for columns alike."""
+    shifted = F.shiftright(context * F.lit(_SPREAD), 16) if isinstance(context, Column) else (context * _SPREAD) >> 16
+    return shifted % groups
+
+
+_COUNTS = "chunk long, group long, windows binary, n binary, tokens binary, c binary"
+
+
+def _counts(depth: int, groups: int):
+    """Per chunk and group the distinct windows and tokens with their counts in training; the empty token is the end."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, tokens, known, block, size = None, Counter(), (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+        chunk, tokens, known, block = None, Counter(), [], []
 
         def fold():
-            nonlocal known, block, size
+            nonlocal block
             if block:
-                w = np.concatenate([known[0], *(x for x, _ in block)])
-                n = np.concatenate([known[1], *(np.full(len(x), learn, np.int64) for x, learn in block)])
-                known, block, size = _sums(w, n), [], 0
+                # The lowest bit of a row to sort tells whether the window counts in training.
+                rows = np.concatenate([(w << 1) | learn for w, learn in block])
+                rows.sort()
+                first = np.flatnonzero(np.concatenate([[True], rows[1:] >> 1 != rows[:-1] >> 1]))
+                block = []
+                known.append((rows[first] >> 1, np.add.reduceat(rows & 1, first)))
+                del rows, first
+                # Tables of like size are merged, so that few lie beside the largest.
+                while len(known) > 1 and len(known[-2][0]) < 2 * len(known[-1][0]):
+                    known[-2:] = [_sums(*(np.concatenate(x) for x in zip(*known[-2:], strict=True)))]
 
         def flush():
             fold()
-            names = list(tokens)
-            for at in range(0, len(names), _BATCH):
-                some = names[at : at + _BATCH]
-                yield pd.DataFrame({"chunk": chunk, "token": [None if t is None else t.decode() for t in some], "window": -1, "n": [tokens[t] for t in some]})
-            for at in range(0, len(known[0]), _BATCH):
-                w = known[0][at : at + _BATCH]
-                yield pd.DataFrame({"chunk": chunk, "token": pd.Series([None] * len(w), dtype=object), "window": w, "n": known[1][at : at + _BATCH]})
+            if chunk is None:
+                return
+            window, n = _sums(*(np.concatenate(x) for x in zip(*known, strict=True)))
+            known.clear()
+            group = _dealt(_context(window), groups)
+            order = np.argsort(group, kind="stable")
+            cuts = np.searchsorted(group[order], np.arange(groups + 1))
+            names = [[] for _ in range(groups)]
+            for t in sorted(tokens):
+                names[zlib.crc32(t) % groups].append(t)
+            mine = [order[cuts[g] : cuts[g + 1]] for g in range(groups)]
+            some = [g for g in range(groups) if len(mine[g]) or names[g]]
+            yield pd.DataFrame({
+                "chunk": chunk, "group": some,
+                "windows": [_pack_numbers(window[mine[g]]) for g in some], "n": [_pack_numbers(n[mine[g]]) for g in some],
+                "tokens": [_pack(b" ".join(names[g])) for g in some],
+                "c": [_pack_numbers(np.array([tokens[t] for t in names[g]], np.int64)) for g in some],
+            })
 
         for batch in batches:
-            for of, text, held_out in zip(batch["chunk"], batch["text"], batch["held_out"], strict=True):
+            for of, docs in zip(batch["chunk"], batch["docs"], strict=True):
                 if of != chunk:
                     yield from flush()
-                    chunk, tokens, known = of, Counter(), (known[0][:0], known[1][:0])
-                raw, learn = _raw(text), int(not held_out)
-                for t in [*raw.split(), None]:
-                    tokens[t] += learn
-                block.append((windows(raw, depth), learn))
-                size += len(raw) + 1
-                if size >= _BLOCK_BYTES:
-                    fold()
+                    chunk, tokens, known = of, Counter(), []
+                for _, raw, held_out in _texts(docs):
+                    words = [*raw.split(), b""]
+                    tokens.update(dict.fromkeys(words, 0) if held_out else words)
+                    block.append((windows(raw, depth), int(not held_out)))
+                fold()
         yield from flush()
 
     return count
 
 
+def _merged(part: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The windows of each row, and the distinct ones of all with their counts."""
+    each = [_numbers(w) for w in part["windows"]]
+    return each, *_sums(np.concatenate(each), np.concatenate([_numbers(x) for x in part["n"]]))
+
+
+def _token_counts(part: pd.DataFrame) -> Counter:
+    total: Counter = Counter()
+    for names, c in zip(part["tokens"], part["c"], strict=True):
+        c = _numbers(c).tolist()
+        for t, k in zip(_tokens(names, len(c)), c, strict=True):
+            total[t] += k
+    return total
+
+
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for x >= 0.5 by Stirling's series at x + 8."""
     y, shift = x + 8, np.ones_like(x)
@@ -151,11 +244,18 @@ def _weigh(levels: dict, depth: int, j: int) -> dict[int, tuple[np.ndarray, ...]
     return out
 
 
+_NODES = "context long, node long, n0 long, n1 long, pw double, share double"
+
+
 def _up(depth: int):
+    """The nodes of TOP bytes of a group; that of context -1 has the kinds and number of its tokens seen in training."""
+
     def up(part: pd.DataFrame) -> pd.DataFrame:
-        levels = _by_depth(part["window"].to_numpy(), part["n"].to_numpy(), depth)
-        found = []
-        for j in range(8):
+        c = _token_counts(part).values()
+        found = [pd.DataFrame({"context": [-1], "node": 0, "n0": sum(k > 0 for k in c), "n1": sum(c), "pw": 0.0, "share": 0.0})]
+        _, window, n = _merged(part)
+        levels = _by_depth(window, n, depth)
+        for j in range(8 if len(window) else 0):
             node, n0, n1, pw, share = _weigh(levels, depth, j)[TOP]
             at = (1 << j) | (node & ((1 << j) - 1))
             found.append(pd.DataFrame({"context": node >> j, "node": at, "n0": n0.astype(np.int64), "n1": n1.astype(np.int64), "pw": pw, "share": share}))
@@ -164,15 +264,21 @@ def _up(depth: int):
     return up
 
 
+_REPLIES = "chunk long, windows binary, log10p binary, tokens binary, c binary"
+
+
 def _down(depth: int):
+    """Each row of a group with the log10 probabilities of its windows and the counts of its tokens."""
+
     def down(part: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
-        window = part["window"].to_numpy()
-        levels = _by_depth(window, part["n"].to_numpy(), depth)
+        each, window, n = _merged(part)
+        tokens = _token_counts(part)
+        levels = _by_depth(window, n, depth)
         keys = (path["context"].to_numpy() << 8) | path["node"].to_numpy()
         order = np.argsort(keys)
         keys, above = keys[order], [path[c].to_numpy()[order] for c in ("last", "mixed", "rest")]
-        context, total = (window >> 8) & ((1 << (8 * TOP)) - 1), np.zeros(len(window))
-        for j in range(8):
+        context, total = _context(window), np.zeros(len(window))
+        for j in range(8 if len(window) else 0):
             tree = _weigh(levels, depth, j) if depth > TOP else {}
             at = np.searchsorted(keys, (context << 8) | (1 << j) | ((window & 255) >> (8 - j)))
             last, mixed, rest = (x[at] for x in above)
@@ -186,18 +292,23 @@ def _down(depth: int):
                 rest = np.where(seen, rest * (1 - part_of), rest)
             one = mixed + rest * last
             total += np.log10(np.where((window >> (7 - j)) & 1 == 1, one, 1 - one))
-        return pd.DataFrame({"window": window, "log10p": total})
+        rounded = (total.view(np.int64) + (1 << (_UNSENT_BITS - 1))) >> _UNSENT_BITS << _UNSENT_BITS
+        logs = [_pack_numbers(rounded[np.searchsorted(window, w)]) for w in each]
+        c = []
+        for names, own in zip(part["tokens"], part["c"], strict=True):
+            c.append(_pack_numbers(np.array([tokens[t] for t in _tokens(names, len(_numbers(own)))], np.int64)))
+        return pd.DataFrame({"chunk": part["chunk"], "windows": part["windows"], "log10p": logs, "tokens": part["tokens"], "c": c})
 
     return down
 
 
-def byte_model(seen: DataFrame, depth: int = TOP) -> DataFrame:
-    """(window, log10p) from (window, n): n counts in training, 0 for windows to be scored only."""
-    groups = max(1, -(-seen.count() // _GROUP))
-    dealt = lambda df, context: spread(df.withColumn("group", F.pmod(F.xxhash64(context), F.lit(groups))), "group")
-    given = dealt(seen.select("window", "n"), F.expr(f"shiftright(window, 8) & {(1 << (8 * TOP)) - 1}"))
-    level = given.groupBy("group").applyInPandas(_up(depth), "context long, node long, n0 long, n1 long, pw double, share double")
-    level = materialize(level, "context-nodes")
+def byte_model(counts: DataFrame, depth: int, groups: int) -> tuple[DataFrame, int, int]:
+    """The replies to the rows of ``counts``, and the number and kinds of tokens seen in training."""
+    given = spread(counts, "group")
+    level = materialize(given.groupBy("group").applyInPandas(_up(depth), _NODES), "context-nodes")
+    drop_past_shuffles(counts.sparkSession)
+    total, kinds = level.where("context < 0").agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n0"), F.lit(0))).first()
+    level = level.where("context >= 0")
     nodes = [level]
     for d in range(TOP - 1, -1, -1):
         up = F.expr(f"context & {(1 << (8 * d)) - 1}")
@@ -219,8 +330,9 @@ def byte_model(seen: DataFrame, depth: int = TOP) -> DataFrame:
             F.when(known, F.col("mixed") + F.col("rest") * F.col("share") * estimate).otherwise(F.col("mixed")).alias("mixed"),
             F.when(known, F.col("rest") * (1 - F.col("share"))).otherwise(F.col("rest")).alias("rest"),
         )
-    paths = dealt(path, F.col("context")).groupBy("group")
-    return given.groupBy("group").cogroup(paths).applyInPandas(_down(depth), "window long, log10p double")
+    paths = spread(path.withColumn("group", _dealt(F.col("context"), groups)), "group")
+    replies = given.groupBy("group").cogroup(paths.groupBy("group")).applyInPandas(_down(depth), _REPLIES)
+    return replies, total, kinds
 
 
 def _lgamma_column(x: Column) -> Column:
@@ -232,20 +344,33 @@ def _lgamma_column(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) - shift
 
 
-def _scored(depth: int, total: int):
+def _scored(depth: int, total: int, kinds: int):
     def scored(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        is_token = table["window"].to_numpy() < 0
-        words = table[is_token]
-        base = {None if pd.isna(t) else t.encode(): (p, k) for t, p, k in zip(words["token"], words["log10p"], words["known"], strict=True)}
-        order = np.argsort(table["window"].to_numpy()[~is_token])
-        keys, logs = (table[c].to_numpy()[~is_token][order] for c in ("window", "log10p"))
-        out = []
-        for doc, held_out, text in zip(texts["doc"], texts["held_out"], texts["text"], strict=True):
-            raw = _raw(text)
-            found = [base[t] for t in [*raw.split(), None]]
-            score = float(logs[np.searchsorted(keys, windows(raw, depth))].sum())
-            out.append((doc, held_out, len(found), sum(k for _, k in found), total, sum(p for p, _ in found), score))
-        return pd.DataFrame(out, columns=["doc", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        each = [_numbers(c) for c in table["c"]]
+        index = {t: k for k, t in enumerate(t for names, c in zip(table["tokens"], each, strict=True) for t in _tokens(names, len(c)))}
+        c = np.concatenate(each)
+        base, known = np.log10((c + 1) / float(total + kinds + 1)), c > 0
+        keys = np.concatenate([_numbers(w) for w in table["windows"]])
+        logs = np.concatenate([_numbers(x, np.float64) for x in table["log10p"]])
+        order = np.argsort(keys, kind="stable")
+        keys, logs = keys[order], logs[order]
+        out, sums = [], []
+        for docs in texts["docs"]:
+            block = []
+            for doc, raw, held_out in _texts(docs):
+                words = [*raw.split(), b""]
+                at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+                out.append((doc, held_out, len(at), int(known[at].sum()), total, float(base[at].sum())))
+                block.append(windows(raw, depth))
+            row = np.concatenate(block)
+            order = np.argsort(row)
+            row = row[order]
+            at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            each = np.empty(len(row))
+            each[order] = np.repeat(logs[np.searchsorted(keys, row[at])], np.diff(np.append(at, len(row))))
+            sums.append(np.add.reduceat(each, np.cumsum([0, *map(len, block[:-1])])))
+        found = pd.DataFrame(out, columns=["doc", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
+        return found.assign(score=np.concatenate(sums))
 
     return scored
 
@@ -264,20 +389,15 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         F.col(f"`{key}`").cast("long").cast("string").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
     )
-    texts = materialize(rows.mapInArrow(_cut, "doc string, text string, held_out boolean, chunk long"), "texts")
-    parts = texts.select("chunk", "text", "held_out").mapInPandas(_counts(depth), "chunk long, token string, window long, n long")
-    counts = parts.groupBy("token", "window").agg(F.sum("n").alias("c"), F.collect_set("chunk").alias("chunks"))
-    counts = materialize(counts, "part-counts")
-    tokens, seen = counts.where("window < 0"), counts.where("window >= 0")
-    total, kinds = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
-    base = F.log10((F.col("c") + 1) / F.lit(float(total + kinds + 1)))
-    model = materialize(byte_model(seen.select("window", F.col("c").alias("n")), depth), "byte-model")
-    known = (F.col("c") > 0).cast("long").alias("known")
-    table = tokens.select(F.explode("chunks").alias("chunk"), "token", "window", base.alias("log10p"), known).unionByName(
-        seen.join(model, "window").select(F.explode("chunks").alias("chunk"), "token", "window", "log10p", known)
-    )
+    texts = materialize(rows.mapInArrow(_cut, "chunk long, bytes long, docs binary"), "texts")
+    size, chunks = texts.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count_distinct("chunk")).first()
+    groups = max(2 * slots(docs.sparkSession), -(-size // _GROUP_BYTES))
+    texts = texts.drop("bytes")
+    counts = materialize(texts.mapInPandas(_counts(depth, groups), _COUNTS), "part-counts")
+    replies, total, kinds = byte_model(counts, depth, groups)
+    parts = max(slots(docs.sparkSession), 4 * chunks)  # so that few chunks meet in one
     return (
-        texts.groupBy("chunk").cogroup(table.groupBy("chunk"))
-        .applyInPandas(_scored(depth, total), "doc string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        texts.repartition(parts, "chunk").groupBy("chunk").cogroup(replies.repartition(parts, "chunk").groupBy("chunk"))
+        .applyInPandas(_scored(depth, total, kinds), "doc string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         .select(F.col("doc").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     )

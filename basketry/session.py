@@ -101,15 +101,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slots(spark: SparkSession) -> int:
+    """Number of partitions of stages whose cost is computing."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Shuffle by key into a fixed number of partitions.
 
     For stages whose cost is computing, not bytes: AQE would merge their small
     partitions into few tasks. A grouping on the same key needs no more shuffle.
     """
-    spark = df.sparkSession
-    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(slots, *keys)
+    return df.repartition(slots(df.sparkSession), *keys)
+
+
+def drop_past_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of stored results, which it does once the driver collects what stands for them."""
+    spark.sparkContext._jvm.System.gc()
 
 
 @contextmanager

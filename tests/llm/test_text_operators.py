@@ -406,6 +406,32 @@ def test_scores_equal_a_plain_context_tree(spark, docs, none):
     assert ctw.score(none, F.lit(False)).count() == 0
 
 
+def test_scores_do_not_depend_on_chunks_and_store_little(spark):
+    import random
+    from pathlib import Path
+    from basketry.llm import ctw
+    from basketry.session import shared_dir
+
+    def stored():
+        return {f: f.stat().st_size for f in Path(shared_dir(spark)).rglob("*.parquet") if f.parent.name.split("-")[0] in ("part", "byte")}
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 400))) for _ in range(600)] + [None, "", " ", "\u00e9\u00df x"]
+    rows = [(None if i % 50 == 1 else i // 2, t) for i, t in enumerate(texts)]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string")
+    held_out = F.col("doc_id") % 5 == 2
+    before = stored()
+    one = ctw.score(given.coalesce(1), held_out, depth=6).collect()
+    # Windows go packed to their groups: at most a few bytes for each byte of text.
+    assert sum(k for f, k in stored().items() if f not in before) < 2 * sum(len(t or "") for t in texts)
+    many = ctw.score(given.repartition(7), held_out, depth=6).collect()
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.score)
+    assert len(one) == len(many) == len(rows)
+    for a, b in zip(sorted(one, key=key), sorted(many, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
 def test_deep_contexts_come_near_the_base_on_held_out_texts(spark):
     from basketry.llm.queries import QUERIES
 
