@@ -55,7 +55,7 @@ def _cut(batches):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    base, before, small = TaskContext.get().partitionId() << 32, 0, pa.ipc.IpcWriteOptions(compression="zstd")
+    base, before, small = TaskContext.get().partitionId() << 32, 0, pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
     for batch in batches:
         sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
         starts = before + np.cumsum(sizes) - sizes
@@ -306,7 +306,6 @@ def byte_model(counts: DataFrame, depth: int, groups: int) -> tuple[DataFrame, i
     """The replies to the rows of ``counts``, and the number and kinds of tokens seen in training."""
     given = spread(counts, "group")
     level = materialize(given.groupBy("group").applyInPandas(_up(depth), _NODES), "context-nodes")
-    drop_past_shuffles(counts.sparkSession)
     total, kinds = level.where("context < 0").agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n0"), F.lit(0))).first()
     level = level.where("context >= 0")
     nodes = [level]
@@ -331,6 +330,7 @@ def byte_model(counts: DataFrame, depth: int, groups: int) -> tuple[DataFrame, i
             F.when(known, F.col("rest") * (1 - F.col("share"))).otherwise(F.col("rest")).alias("rest"),
         )
     paths = spread(path.withColumn("group", _dealt(F.col("context"), groups)), "group")
+    drop_past_shuffles(counts.sparkSession)
     replies = given.groupBy("group").cogroup(paths.groupBy("group")).applyInPandas(_down(depth), _REPLIES)
     return replies, total, kinds
 
