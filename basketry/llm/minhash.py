@@ -67,18 +67,21 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star: each node links its larger neighbours to its smallest one.
     Small-star: it links itself and its smaller neighbours to the smallest. Both
     use a minimum with map-side sums and a join, so a hub is never gathered.
+    No round has more links than the one before it.
     """
-    links = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
+    rows = edges.count()
+    links = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links", rows)
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = materialize(large, "links")
+        large = materialize(large, "links", rows)
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a")
         new = materialize(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a != b").distinct(),
             "links",
+            rows,
         )
         same = new.count() == links.count() and new.join(links, ["a", "b"], "left_anti").isEmpty()
         links = new

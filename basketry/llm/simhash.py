@@ -132,7 +132,7 @@ def _labelled(classes: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """(fp, root) of all classes, materialized."""
     roots = components(links)
     joined = classes.join(roots, classes.fp == roots.node, "left")
-    return materialize(joined.select("fp", F.coalesce("root", "fp").alias("root")), name)
+    return materialize(joined.select("fp", F.coalesce("root", "fp").alias("root")), name, classes.count())
 
 
 def near_components(docs: DataFrame, width: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,13 +154,14 @@ def near_components(docs: DataFrame, width: int = 4, distance: int = 4, key: str
 
     drawn = docs.select(F.col(f"`{key}`").alias("id"), sketch(F.col(f"`{text}`")).alias("fp"))
     table = materialize(drawn, "fingerprints")
-    classes = materialize(table.groupBy("fp").agg(F.min("id").alias("id")), "fingerprint-classes")
+    classes = materialize(table.groupBy("fp").agg(F.min("id").alias("id")), "fingerprint-classes", table.count())
     own = classes.select("fp")
     parts = segments(distance)
     links = _stars(own, parts, distance, distance)
     if distance > 2:
         links = links.union(_stars(own, parts, distance - 1, distance))
-    links = materialize(links, "cloud-links")
+    most = 2 * len(parts) * own.count()  # of one _stars: each fingerprint with two others in each chain
+    links = materialize(links, "cloud-links", 2 * most if distance > 2 else most)
     across = materialize(_across(_labelled(own, links, "clouds"), parts, distance), "links-across")
     labels = _labelled(own, links.union(across), "fingerprint-roots")
     least = classes.join(labels, "fp").groupBy("root").agg(F.min("id").alias("component_id"))

@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -105,6 +107,29 @@ def test_simhash_cloud_of_near_copies(spark):
     assert simhash._labelled(classes, links, "cloud").select("root").distinct().count() == 1
 
 
+def test_few_fingerprints_are_few_files(spark):
+    """The number of files follows the rows, not the partitions of the shuffles."""
+    settings = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.rglob("part-*"))
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        data = [(i, f"word{i % 7} and some more of text {i % 5} " * 9) for i in range(300)]
+        rows = [(i, plain_fingerprint(t)) for i, t in data]
+        got = simhash.near_components(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = sorted((*r, c) for r, c in zip(rows, plain_components(rows), strict=True))
+    assert sorted((r.id, r.fingerprint, r.component_id) for r in got) == want
+    files = Counter(f.parent.name.rpartition("-")[0] for f in set(folder.rglob("part-*")) - before)
+    folders = Counter(d.rpartition("-")[0] for d in {f.parent.name for f in set(folder.rglob("part-*")) - before})
+    assert folders["links"] >= 4 and files["links"] == folders["links"]
+    assert files["fingerprint-classes"] == files["fingerprint-roots"] == files["clouds"] == files["cloud-links"] == 1
+
+
 def plain_runs(w, exponent=4, least=6):
     n, out = len(w), []
     for q in range(1, n // exponent + 1):
