@@ -5,13 +5,16 @@ automaton over the vocabulary lists the tokens that end at each byte, longest
 first. A token is the last one of a prefix if it is compatible with the last
 token of the prefix before it: the merges of the pair's bytes must give back
 just these two. Back-pointers from the end give the ids.
+
+What was met before is kept, by words that begin with a single space or line
+end, where the pattern always cuts, and by the pieces that make up a word.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
@@ -23,7 +26,7 @@ from basketry.llm.common import others
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
-CACHE = 150_000  # pieces in each of a worker's two generations of memory; it bounds memory only
+CACHE = 500_000  # words and pieces in each of a worker's two generations of memory; it bounds memory only
 
 _loaded: dict[str, Encoder] = {}
 
@@ -35,6 +38,29 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+class Uneven(Exception):
+    """A word beside more white space than the one character it begins with."""
+
+
+class Memory(dict):
+    """Comma-joined ids and decoded bytes by text. A missing text is learned; of the generation before, what is seen again moves on."""
+
+    def __init__(self, learn: Callable[[str], tuple[str, bytes]]):
+        self.learn = learn
+        self.older: dict[str, tuple[str, bytes]] = {}
+
+    def __missing__(self, text: str) -> tuple[str, bytes]:
+        found = self.older.get(text)
+        if found is None:
+            found = self.learn(text)
+        if len(text) < 64:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[text] = found
+        return found
+
+
 class Encoder:
     """Vocabulary, merges and automaton of one tokenizer file."""
 
@@ -45,7 +71,6 @@ class Encoder:
             spec = json.load(file)
         vocab = spec["model"]["vocab"]
         letters = byte_letters()
-        self.letter = letters
         back = {c: bytes([b]) for b, c in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: b"".join(back[c] for c in t) for t, i in vocab.items() if t not in self.special}
@@ -59,13 +84,15 @@ class Encoder:
         self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
             if token not in self.special:
-                self.automaton.add_word(token, (i, len(token)))
+                # One character for each byte, as Latin-1 has it.
+                self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
         self.pattern = regex.compile(PATTERN)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}  # the generation before: what is seen again moves on
+        self.uneven = regex.compile(r"[ \n]\s|.*\s\Z", regex.DOTALL)
+        self.known = Memory(self._learn)
+        self.blank = Memory(self._one)  # pieces of white space, which are no words
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of ``a`` and ``b`` together encode to just these two.
@@ -108,7 +135,7 @@ class Encoder:
 
     def piece(self, text: str) -> list[int]:
         """Token ids of one piece."""
-        shown = "".join([self.letter[b] for b in text.encode("utf-8", "surrogatepass")])
+        shown = text.encode("utf-8", "surrogatepass").decode("latin-1")
         last: list[int | None] = [None] * (len(shown) + 1)
         width = [0] * (len(shown) + 1)
         fits, compatible = self.fits.get, self.compatible
@@ -130,35 +157,53 @@ class Encoder:
             at -= width[at]
         return ids[::-1]
 
-    def _learn(self, piece: str) -> tuple[str, int, bytes]:
-        """Ids, their number and bytes of a piece that the newer generation does not know."""
-        found = self.older.get(piece)
-        if found is None:
-            own = self.piece(piece)
-            found = (",".join(map(str, own)), len(own), b"".join([self.bytes_of[i] for i in own]))
-        if len(piece) < 64:
-            if len(self.known) >= CACHE:
-                # Emptied and filled in place: ``encode`` holds a method of the newer one.
-                self.older = dict(self.known)
-                self.known.clear()
-            self.known[piece] = found
-        return found
+    def _one(self, piece: str) -> tuple[str, bytes]:
+        own = self.piece(piece)
+        return ",".join(map(str, own)), b"".join([self.bytes_of[i] for i in own])
+
+    def _learn(self, text: str) -> tuple[str, bytes]:
+        """A word, or a piece that is not blank."""
+        if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return self._one(text)
+        if self.uneven.match(text):
+            raise Uneven
+        cut = self.pattern.findall(text)
+        if len(cut) == 1:
+            return self._one(text)
+        found = self._pieces(cut)
+        return ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
+
+    def _pieces(self, cut: list[str]) -> list[tuple[str, bytes]]:
+        known, blank = self.known, self.blank
+        return [blank[p] if p.isspace() else known[p] for p in cut]
+
+    def _parts(self, text: str) -> list[tuple[str, bytes]]:
+        """What the words of a text without special tokens encode to.
+
+        The pattern cuts before a space or line end that stands between two
+        characters that are not white. A text where it meets other white space,
+        or that has the character used as a mark, is cut by the pattern alone.
+        """
+        if "\0" not in text:
+            first, *words = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            try:
+                if first[-1:].isspace():
+                    raise Uneven
+                return self._pieces(self.pattern.findall(first)) + [*map(self.known.__getitem__, words)]
+            except Uneven:
+                pass
+        return self._pieces(self.pattern.findall(text))
 
     def encode(self, text: str) -> tuple[str, int, str]:
         """Decimal ids joined by commas, their number, and the decoded text."""
-        ids, n, out = [], 0, []
+        found: list[tuple[str, bytes]] = []
         for part in self.splitter.split(text) if self.splitter else [text]:
             if part in self.special:
-                ids.append(str(self.special[part]))
-                out.append(part.encode())
-                n += 1
-                continue
-            known, learn = self.known.get, self._learn
-            found = [known(piece) or learn(piece) for piece in self.pattern.findall(part)]
-            ids += [f[0] for f in found]
-            n += sum([f[1] for f in found])
-            out += [f[2] for f in found]
-        return ",".join(ids), n, b"".join(out).decode("utf-8", "replace")
+                found.append((str(self.special[part]), part.encode()))
+            elif part:
+                found += self._parts(part)
+        ids = ",".join([f[0] for f in found])
+        return ids, ids.count(",") + 1 if ids else 0, b"".join([f[1] for f in found]).decode("utf-8", "replace")
 
 
 def encoder(path: str) -> Encoder:

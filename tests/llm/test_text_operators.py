@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,39 @@ def test_bpe_on_odd_pieces():
         assert own.encode(text)[0] == ",".join(map(str, ids))
 
 
+def test_bpe_of_any_white_space_equals_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    whole, own = tokenizers.Tokenizer.from_file(bpe.default_path()), bpe.encoder(bpe.default_path())
+    letters = [" ", " ", " ", "\n", "\n", "\t", "\r", "\xa0", "\u3000", "\x1c", "\0", "'", "s", "t", "ing", "B", "é", "漢", "1", "½", ".", "!", "<|endoftext|>", "😀"]
+    rng = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(10)))
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == (",".join(map(str, ids)), len(ids), whole.decode(ids, skip_special_tokens=False)), repr(text)
+
+
+def test_bpe_cuts_known_words_no_more(monkeypatch):
+    """Words met before are taken from memory whole; the pattern sees the first word only, and memory stays bounded."""
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.seen = pattern, 0
+
+        def findall(self, text):
+            self.seen += len(text)
+            return self.pattern.findall(text)
+
+    own = bpe.Encoder(bpe.default_path())
+    own.pattern = Counted(own.pattern)
+    text = "First words, then 12 others.\nAnd it's all: one line more."
+    once = own.encode(text)
+    own.pattern.seen = 0
+    assert own.encode(text) == once and own.pattern.seen == len("First")
+    monkeypatch.setattr(bpe, "CACHE", 5)
+    assert own.encode(text) == once and own.encode(" ".join(map(str, range(50))))[1] >= 50
+    assert max(len(own.known), len(own.blank)) <= 5 and own.encode(text) == once
+
+
 def _components(rows):
     sets = {}
     for i, t in rows:
