@@ -26,7 +26,7 @@ from basketry.llm.common import others
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
-CACHE = 500_000  # words and pieces in each of a worker's two generations of memory; it bounds memory only
+CACHE = 300_000  # words and pieces in each of a worker's two generations of memory; it bounds memory only
 
 _loaded: dict[str, Encoder] = {}
 
