@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry import session
-from basketry.functions import quantiles
+from basketry.functions import factors, quantiles
 from basketry.functions.ranking import dense_position, number_rows, range_chunks, running_sums
 from basketry.operators import basket, recommend
 from basketry.operators.similar import top_similar
@@ -168,3 +168,70 @@ def test_training_removes_files_of_past_rounds(spark):
     finally:
         recommend.ALS.fit = fit
     assert kept == [1]
+
+
+def _als(spark, pairs, rounds):
+    """Vectors by Spark's own ALS."""
+    blocks = spark.sparkContext.defaultParallelism
+    als = recommend.ALS(
+        rank=32, numUserBlocks=blocks, numItemBlocks=blocks, implicitPrefs=True, nonnegative=True, maxIter=rounds, seed=42,
+        userCol="p1", itemCol="p2", ratingCol="r",
+    )
+    model = als.fit(basket.mirrored(pairs).select(F.col("p1").cast("int"), F.col("p2").cast("int"), F.lit(1.0).alias("r")))
+    return {r["id"]: r["features"] for r in model.userFactors.collect()}
+
+
+def test_vector_tasks_follow_the_links(spark, monkeypatch):
+    """A task solves a bounded number of links, and the vectors are those of Spark's ALS: with a hub, repeated pairs and negative ids."""
+    monkeypatch.setattr(factors, "PLAIN_LINKS", 0)
+    monkeypatch.setattr(factors, "PART_LINKS", 100)
+    rows = [(0, b) for b in range(1, 150)] + [(a, a + d) for a in range(1, 140) for d in (1, 1, 7)] + [(-5, -3), (2**31 - 1, 4)]
+    pairs = spark.createDataFrame(rows, "a long, b long")
+    parts = []
+    deal = factors._packed_links
+    monkeypatch.setattr(factors, "_packed_links", lambda links, n: parts.append(n) or deal(links, n))
+    sold = spark.createDataFrame([(p,) for row in rows for p in row], "producto_id long")
+    got = {r["id"]: r["embedding"] for r in recommend.product_vectors(pairs, sold, iterations=4).collect()}
+    want = _als(spark, pairs, 4)
+    assert parts[0] >= 2 * len(rows) / 100
+    assert got.keys() == want.keys()
+    assert all(abs(x - y) < 1e-5 for p in want for x, y in zip(got[p], want[p], strict=True))
+
+
+def test_nonnegative_least_squares():
+    """Every solution is at least zero, and its slope is zero where it is above, from any first guess."""
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=(200, 9, 6))
+    left = base.transpose(0, 2, 1) @ base + 0.01 * np.eye(6)
+    right = draw.normal(size=(200, 6))
+    right[0] = 0.0
+    for guess in (np.ones((200, 6), bool), np.zeros((200, 6), bool), draw.random((200, 6)) < 0.5):
+        x = factors.nonnegative(left, right, guess)
+        slope = (left @ x[:, :, None])[:, :, 0] - right
+        assert x.min() >= 0 and slope.min() > -1e-8 and np.abs(slope[x > 0]).max() < 1e-8
+
+
+def test_links_are_packed_and_summed_in_pieces(monkeypatch):
+    """However the links are cut, a product's matrix and right side add up all of its links."""
+    draw = np.random.default_rng(5)
+    counts = np.array([1, 3, 40, 2, 5, 17], dtype="int32")
+    vectors, index = draw.random((30, 4), dtype="float32"), draw.integers(0, 30, counts.sum()).astype("int32")
+    own = np.repeat(np.arange(6, dtype="int32"), counts)
+    whole = factors._normal(vectors, np.eye(4), (1.0, 0.1), counts, index)
+    monkeypatch.setattr(factors, "_STEP_LINKS", 8)
+    cut = factors._normal(vectors, np.eye(4), (1.0, 0.1), counts, index)
+    assert all(np.allclose(a, b, rtol=1e-12) for a, b in zip(whole, cut, strict=True))
+    assert np.allclose(whole[1][1], 2 * vectors[index[1:4]].astype("float64").sum(axis=0))
+    monkeypatch.setattr(factors, "CHUNK_LINKS", 10)
+    held = [
+        (*np.unique(own[at : at + 7], return_counts=True), index[at : at + 7].copy(), index[at : at + 7] % 3) for at in range(0, len(own), 7)
+    ]
+    made = {"head": [], "link": [], "want": []}
+    for record in factors._pack_part(1, held, 3):
+        made[record["kind"][0]].append(record.iloc[0])
+    read = lambda kind, column, dtype="int32": np.concatenate([np.frombuffer(r[column], dtype) for r in made[kind]])
+    asked = read("want", "ids")
+    assert (read("head", "ids") == np.arange(6)).all() and (read("link", "ids") == counts).all() and len(made["link"]) > 1
+    assert (asked[read("link", "more")] == index).all()
+    assert [(r["part"], r["first"]) for r in made["want"]] == [(0, 1), (1, 1), (2, 1)]
+    assert (read("head", "more", "int64") == np.cumsum([0, *(len(r["ids"]) // 4 for r in made["want"])])).all()
