@@ -24,7 +24,9 @@ The running sums of a product with many changes are cut into chunks of the log
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,7 +36,7 @@ from pyspark.sql.window import Window
 from basketry.functions.components import components
 from basketry.functions.ranking import range_chunks, running_sums
 from basketry.operators.sales import sale_facts
-from basketry.session import materialize, scratch_path
+from basketry.session import discard, drop_past_shuffles, materialize, scratch_path
 
 GROUP_ROWS = 20_000  # changes of one component that one task decides in a round
 GOOD_ROUND = 8  # bounds go on alone while a round decides one in so many of the open changes
@@ -56,12 +58,17 @@ _CHANGE = ["request_id", "fecha", "chunk", "producto_id", "delta", "stock", "tak
 
 @dataclass
 class LogResult:
-    decisions: DataFrame  # request_id, op, venta_id, cliente_id, fecha, accepted, motivo
+    explain: Callable[[], DataFrame]
     ventas: DataFrame  # id, cliente_id, fecha, total
     detalles: DataFrame  # venta_id, producto_id, linea, cantidad, precio_unitario
     productos: DataFrame  # the products with their new stock
     rounds: int
 
+    @cached_property
+    def decisions(self) -> DataFrame:
+        """request_id, op, venta_id, cliente_id, fecha, accepted, motivo; reasons are looked for when first asked."""
+        return self.explain()
+
 
 def explode_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests with a ``lines`` array, as request rows and line rows."""
@@ -119,6 +126,7 @@ def apply_log(
         )
         .drop("_sale", "_person")
     )
+    checked = materialize(checked, "checked")
     stock = productos.select(
         F.col("id").alias("producto_id"), F.col("nombre").alias("_nombre"), F.col("stock").alias("stock"), F.lit(True).alias("_known")
     )
@@ -131,18 +139,19 @@ def apply_log(
     moved = new.select("request_id", "producto_id", F.col("cantidad").cast("bigint").alias("d")).unionByName(
         old.select("request_id", "producto_id", (-F.col("cantidad")).cast("bigint").alias("d"))
     )
-    net = moved.groupBy("request_id", "producto_id").agg(F.sum("d").alias("delta"))
+    net = materialize(moved.groupBy("request_id", "producto_id").agg(F.sum("d").alias("delta")), "net")
     changes = (
         net.join(open_heads.select("request_id", "fecha", "chunk"), "request_id")
         .join(stock.select("producto_id", "stock"), "producto_id")
         .where(F.col("stock").isNotNull())
         .withColumn("taken", F.lit(0).cast("bigint"))
     )
-    changes = materialize(changes, "changes")
+    changes = written = materialize(changes, "changes")
     many = changes.groupBy("producto_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > _HOT)
     many = materialize(many.select("producto_id", F.lit(True).alias("hot")), "hot-products")
     changes = changes.join(many, "producto_id", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).select(*_CHANGE)
     verdicts, rounds = _decide(changes, group_rows)
+    discard(written)
 
     # A request without any stock change (such as a sale without lines) is fine.
     decided = (
@@ -155,19 +164,23 @@ def apply_log(
         .drop("_bad")
     )
     decided = materialize(decided, "decided")
+    drop_past_shuffles(decided.sparkSession)
     ok = decided.where("accepted").select("request_id", "op", "venta_id", "cliente_id", "fecha", "chunk")
 
     final = net.join(ok.select("request_id", "fecha", "chunk"), "request_id")
-    motives = _motives(decided, new_known, old, final)
-    decisions = decided.join(motives, "request_id", "left").select(
-        "request_id",
-        "op",
-        "venta_id",
-        "cliente_id",
-        "fecha",
-        "accepted",
-        F.when(~F.col("accepted"), F.coalesce("_head_error", "_line_error")).alias("motivo"),
-    )
+
+    def explain() -> DataFrame:
+        motives = _motives(decided, checked, lines, stock, old, final)
+        return decided.join(motives, "request_id", "left").select(
+            "request_id",
+            "op",
+            "venta_id",
+            "cliente_id",
+            "fecha",
+            "accepted",
+            F.when(~F.col("accepted"), F.coalesce("_head_error", "_line_error")).alias("motivo"),
+        )
+
     change = final.groupBy(F.col("producto_id").alias("id")).agg(F.sum("delta").alias("_out"))
     after = productos.join(change, "id", "left").select(
         *[
@@ -186,7 +199,7 @@ def apply_log(
     kept_sales = ventas.join(ended.select(F.col("venta_id").alias("id")), "id", "left_anti")
     kept_lines = detalles.join(ended, "venta_id", "left_anti")
     return LogResult(
-        decisions=decisions,
+        explain=explain,
         ventas=kept_sales.select("id", "cliente_id", "fecha", F.col("total").cast("double").alias("total")).unionByName(
             new_sales
         ),
@@ -197,26 +210,34 @@ def apply_log(
 
 
 def _decide(changes: DataFrame, group_rows: int) -> tuple[DataFrame, int]:
-    """``request_id, accepted`` for every request in ``changes``. Each round appends its verdicts to one table."""
+    """``request_id, accepted`` for every request in ``changes``. Each round appends its verdicts to one table.
+
+    The files of a round go when the next has read them.
+    """
     spark = changes.sparkSession
     path = scratch_path(spark, "verdicts")
-    todo, fresh = changes, None
+    todo, fresh, past = changes, None, []
     left = todo.count()
     rounds = 0
     changes.select("request_id", F.lit(True).alias("accepted")).limit(0).write.parquet(path)
     while left > group_rows:
         rounds += 1
         before = left
-        state = materialize(_round(todo, fresh), f"round{rounds}")
+        drop_past_shuffles(spark)
+        state = _round(todo, fresh, f"round{rounds}")
+        discard(*past)
         left = state.where(F.col("accepted").isNull()).count()
         if group_rows and left > group_rows and (before - left) * GOOD_ROUND < before:
-            state = materialize(_by_component(state, group_rows), f"components{rounds}")
+            state = _by_component(state, group_rows, f"components{rounds}")
             left = state.where(F.col("accepted").isNull()).count()
         state.where(F.col("accepted").isNotNull()).select("request_id", "accepted").distinct().write.mode("append").parquet(path)
+        past = [state]
         fresh = state.where(F.col("accepted")).select(*_CHANGE)
         todo = state.where(F.col("accepted").isNull()).select(*_CHANGE)
     if left:
         _rest(todo, fresh).write.mode("append").parquet(path)
+    discard(*past)
+    drop_past_shuffles(spark)
     return spark.read.schema("request_id bigint, accepted boolean").parquet(path), rounds
 
 
@@ -234,8 +255,8 @@ def _ahead(todo: DataFrame, fresh: DataFrame | None, sums: dict[str, Column] | N
     return summed.where(~F.col("_new")).withColumn("taken", F.col("taken") + F.col("_acc")).drop("_new", "_acc")
 
 
-def _round(todo: DataFrame, fresh: DataFrame | None) -> DataFrame:
-    """One round of bounds. ``fresh`` are the changes accepted since the last round.
+def _round(todo: DataFrame, fresh: DataFrame | None, name: str) -> DataFrame:
+    """One round of bounds, written as ``name``. ``fresh`` are the changes accepted since the last round.
 
     ``taken`` carries the earlier accepted changes, so rows that are decided
     leave the working set.
@@ -252,11 +273,13 @@ def _round(todo: DataFrame, fresh: DataFrame | None) -> DataFrame:
     tested = materialize(tested, "bounds")
     votes = tested.groupBy("request_id").agg(F.min("_high").alias("_all_high"), F.min("_low").alias("_all_low"))
     accepted = F.when(F.col("_all_high"), F.lit(True)).when(~F.col("_all_low"), F.lit(False))
-    return tested.join(votes, "request_id").select(*_CHANGE, "_high", accepted.alias("accepted"))
+    state = materialize(tested.join(votes, "request_id").select(*_CHANGE, "_high", accepted.alias("accepted")), name)
+    discard(tested)
+    return state
 
 
-def _by_component(state: DataFrame, group_rows: int) -> DataFrame:
-    """Decide the undecided requests of each component in order, up to ``group_rows`` changes of it.
+def _by_component(state: DataFrame, group_rows: int, name: str) -> DataFrame:
+    """Decide the undecided requests of each component in order, up to ``group_rows`` changes of it; written as ``name``.
 
     A change that fits under high can be left out: it fits whatever the others do.
     """
@@ -277,7 +300,10 @@ def _by_component(state: DataFrame, group_rows: int) -> DataFrame:
     first = running_sums(placed.select(*_CHANGE, "_part"), ["_part"], "chunk", order, {"_place": F.lit(1).cast("bigint")})
     complete = first.where(F.col("_place") < group_rows).join(least.select("request_id", "_rows"), "request_id")
     solved = complete.groupBy("_part").applyInPandas(_in_order, "request_id bigint, _ok boolean")
-    return state.join(solved, "request_id", "left").select(*_CHANGE, F.coalesce("accepted", "_ok").alias("accepted"))
+    after = state.join(solved, "request_id", "left").select(*_CHANGE, F.coalesce("accepted", "_ok").alias("accepted"))
+    after = materialize(after, name)
+    discard(state, contested, mine, least)
+    return after
 
 
 def _rest(todo: DataFrame, fresh: DataFrame | None) -> DataFrame:
@@ -305,29 +331,41 @@ def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["request_id", "_ok"])
 
 
-def _motives(decided: DataFrame, new_known: DataFrame, old: DataFrame, final: DataFrame) -> DataFrame:
+def _motives(
+    decided: DataFrame, checked: DataFrame, lines: DataFrame, stock: DataFrame, old: DataFrame, final: DataFrame
+) -> DataFrame:
     """The reason of the first failing line of each rejected request.
 
     The stock a line saw is the starting stock, less accepted changes of
     earlier requests, plus what its own request gave back, less the earlier
-    lines of its request.
+    lines of its request. Only lines of rejected requests meet the products.
     """
     rejected = decided.where(~F.col("accepted") & F.col("_head_error").isNull()).select("request_id", "fecha", "chunk")
-    # A line without a readable product id is an unknown product like any other.
-    lines = (
-        new_known.withColumn("producto_id", F.coalesce("producto_id", F.lit(-1)))
+    asked = (
+        lines.select("request_id", "linea", "producto_id", "cantidad")
         .join(rejected, "request_id")
-        .withColumn("_part", F.floor(F.col("linea") / _LINES))
+        .join(checked.where(F.col("op") != DELETE).select("request_id"), "request_id")
     )
+    # A line without a readable product id is an unknown product like any other.
+    asked = asked.join(stock, "producto_id", "left").withColumn("producto_id", F.coalesce("producto_id", F.lit(-1)))
+    lines = materialize(asked.withColumn("_part", F.floor(F.col("linea") / _LINES)), "asked")
     asks = lines.groupBy("request_id", "fecha", "chunk", "producto_id").agg(F.lit(0).cast("bigint").alias("delta"))
     log = asks.withColumn("_ask", F.lit(True)).unionByName(
         final.select("request_id", "fecha", "chunk", "producto_id", "delta").withColumn("_ask", F.lit(False))
     )
-    before = (
-        running_sums(log, ["producto_id"], "chunk", ["fecha", "request_id"], {"_before": F.col("delta")})
-        .where("_ask")
-        .select("request_id", "producto_id", "_before")
-    )
+    log = materialize(log, "asks")
+    drop_past_shuffles(log.sparkSession)
+    many = log.groupBy("producto_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > _HOT).select("producto_id")
+    many = materialize(many, "hot-asked")
+    order = ["fecha", "request_id"]
+    earlier = Window.partitionBy("producto_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    few = log.join(many, "producto_id", "left_anti").drop("chunk")
+    few = few.withColumn("_before", F.coalesce(F.sum("delta").over(earlier), F.lit(0)))
+    hot = running_sums(log.join(many, "producto_id", "left_semi"), ["producto_id"], "chunk", order, {"_before": F.col("delta")})
+    before = few.unionByName(hot.drop("chunk")).where("_ask").select("request_id", "producto_id", "_before")
+    before = materialize(before, "before")
+    discard(log, many)
+    drop_past_shuffles(log.sparkSession)
     back = (
         old.join(rejected.select("request_id"), "request_id", "left_semi")
         .groupBy("request_id", "producto_id")

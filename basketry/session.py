@@ -108,6 +108,15 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``materialize`` wrote and that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        for parent in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(parent))
+            folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def slots(spark: SparkSession) -> int:
     """Number of partitions of stages whose cost is computing."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.components import components
 from basketry.operators import inventory as inv
+from basketry.session import _application_dir
 
 REQUEST = "request_id bigint, op string, venta_id bigint, cliente_id bigint, fecha timestamp_ntz"
 LINE = "request_id bigint, linea int, producto_id bigint, cantidad int, precio_unitario double"
@@ -214,3 +216,24 @@ def test_a_group_takes_null_dates_first_and_null_quantities_as_nothing():
         columns=["request_id", "fecha", "producto_id", "delta", "stock", "taken", "_rows"],
     )
     assert dict(inv._in_order(rows).to_numpy().tolist()) == {2: True, 1: False, 3: True, 4: True}
+
+
+def test_files_of_past_rounds_are_removed(spark, monkeypatch):
+    """While a log is decided, a round finds no files of rounds before the last; at the end none are left, nor are reasons looked for."""
+    before = set(Path(_application_dir(spark)).glob("*"))
+    names = lambda: sorted(p.name.rpartition("-")[0] for p in set(Path(_application_dir(spark)).glob("*")) - before)
+    seen = []
+    step = inv._round
+    monkeypatch.setattr(inv, "_round", lambda *how: seen.append(names()) or step(*how))
+    case = random_case(11, 60, 5, True)
+    result = run(spark, *case, group_rows=4)
+    assert result.rounds > 2
+    kept = {"log", "checked", "net", "changes", "hot-products", "verdicts", "decided", "checkpoints"}
+    for at, found in enumerate(seen):
+        own = [n for n in found if n not in kept and n != "links"]
+        assert len(own) == min(at, 1) and set(own) <= {f"round{at}", f"components{at}"}
+    assert not [n for n in names() if n.startswith(("bounds", "round", "components", "contested", "open-changes", "requests", "changes"))]
+    assert "asked" not in names()
+    want = loop(*case)[0]
+    assert {r["request_id"]: r["motivo"] for r in result.decisions.collect()} == want
+    assert "asks" not in names()
