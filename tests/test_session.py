@@ -1,4 +1,6 @@
+import gc
 import os
+import weakref
 
 from basketry import session
 
@@ -21,3 +23,17 @@ def test_spread_keeps_its_partitions(spark):
     grouped = session.spread(spark.range(100), "id").groupBy("id").count()
     grouped.collect()
     assert grouped.rdd.getNumPartitions() == 4
+
+
+def test_dropped_frames_let_their_shuffles_go(spark):
+    """A frame whose Java side was used is collected, though it lies in a cycle of references."""
+    frame = spark.range(10).repartition(3)
+    frame.rdd.map(lambda r: (r[0], 1)).partitionBy(2).count()
+    seen = weakref.ref(frame._jdf)
+    gc.disable()
+    try:
+        del frame
+        session.drop_past_shuffles(spark)
+        assert seen() is None
+    finally:
+        gc.enable()
